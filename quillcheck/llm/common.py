@@ -34,9 +34,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: What a batch sent to Python holds at most, where the session leaves Spark's 64 MB as it is.
+BATCH_BYTES = "8m"
+
+
+def lighten(spark: SparkSession) -> None:
+    """Send Python smaller batches, so that long texts need little memory in each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB", "67108864"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    lighten(spark)
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
