@@ -277,6 +277,16 @@ def test_word_cache_gives_the_tokenizers_ids(text):
     assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_cache_on_latin_words_and_a_full_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    coder = tokens.WordCoder(tokens.default_path())
+    rng = random.Random(2)
+    for _ in range(300):
+        own = ["".join(rng.choice("abcdeABÉéßẞñÑçİıſŁø,.'") for _ in range(rng.randrange(1, 9))) for _ in range(20)]
+        text = " ".join([*own, *(w + rng.choice(",.") for w in own), "H\u0331 ΑΣ, ΟΔΟΣ. café cafe\u0301. ..., é,. don't."])
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty, ids):
     size = 64
     got = packing.pack(docs, size=size).collect()
@@ -344,6 +354,9 @@ def test_token_files(docs, empty, ids, file_ids):
         at += len(own)
     assert Counter(collected(dac.report(docs, file_ids=file_ids))) == want
     assert not collected(dac.report(empty))
+    index, folder = dac.write(docs, file_ids=file_ids)
+    some = dac.read(index.where("doc_id in (5, 304)"), folder, batch_ids=10).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in some} == {d: own for d, own in rows if d in (5, 304)}
 
 
 # 9
