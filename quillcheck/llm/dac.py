@@ -151,34 +151,42 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, partitions:
     return index.join(F.broadcast(table) if len(starts) <= 100_000 else table, "file").withColumn("start", F.col("file_start") + F.col("at")).drop("file_start"), folder
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of the index's documents, from the files."""
+def read(index: DataFrame, folder: str, crc_only: bool = False, batch_ids: int = 1_000_000) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of the index's documents, from the files.
+
+    With ``crc_only``, the ids' checksum (ids_crc32 long) stands for the ids.
+    """
+    last = "ids_crc32" if crc_only else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = storage(folder)
         name, codes = None, None
         for batch in batches:
-            ids = []
+            found, done, size = [], 0, 0
+
+            def out(n: int) -> pa.RecordBatch:
+                own = batch.slice(done, n)  # noqa: B023  called before the loop goes on
+                cols = [own.column(c) for c in ("doc_id", "start", "n_tokens")]
+                return pa.record_batch([*cols, pa.array(found, pa.int64() if crc_only else pa.binary())], ["doc_id", "start", "n_tokens", last])  # noqa: B023
+
             for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n_tokens")), strict=True):
                 if file != name:
                     with fs.open_input_file(f"{root}/{file}") as f:
                         name, codes = file, Codes(f.read())
-                ids.append(codes[at : at + n].astype("<u4").tobytes())
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                ids = codes[at : at + n].astype("<u4").tobytes()
+                found.append(zlib.crc32(ids) if crc_only else ids)
+                size += n
+                if size > batch_ids and not crc_only:
+                    yield out(len(found))
+                    done, found, size = done + len(found), [], 0
+            if found:
+                yield out(len(found))
 
     rows = index.select("file", "at", "doc_id", "start", "n_tokens")
     dealt = rows.repartition("file").sortWithinPartitions("file", "at")
-    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return dealt.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if crc_only else 'binary'}")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
-    index, folder = write(docs, **options)
-    rows = read(index, folder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(3)], pa.int64())
-            yield pa.record_batch([*batch.columns[:3], found], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(*write(docs, **options), crc_only=True)
