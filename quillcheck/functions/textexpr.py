@@ -10,6 +10,11 @@ from ..schemas import HOW, NEGATORS, STOP, WALL_MARKS
 _QUOTES_FROM, _QUOTES_TO = "\u2018\u2019\u201c\u201d\u2013\u2011\u00a0\u200b\u200c\u200d\u2060\ufeff", "''\"\"-- "
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside lambdas an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_composed(text: Column) -> Column:
     """``udfs.norm`` for text that is composed (NFC) already, as ASCII is; no Python."""
     plain = F.replace(F.translate(text, _QUOTES_FROM, _QUOTES_TO), F.lit("\u2014"), F.lit(" - "))
@@ -41,23 +46,32 @@ def overlap_n(text: Column, support: Column, ignore: Column | None = None) -> Co
     """The share of the text's content words, repeats counted, that the support has; 1 without any."""
     words = content_words_n(text)
     if ignore is not None:
-        skip = content_words_n(ignore)
-        words = F.filter(words, lambda w: ~F.array_contains(skip, w))
-    have = content_words_n(support)
-    hit = F.size(F.filter(words, lambda w: F.array_contains(have, w)))
-    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(hit / F.size(words))
+        words = let(content_words_n(ignore), lambda skip: F.filter(content_words_n(text), lambda w: ~F.array_contains(skip, w)))
+
+    def share(ws: Column, have: Column) -> Column:
+        hit = F.size(F.filter(ws, lambda w: F.array_contains(have, w)))
+        return F.when(F.size(ws) == 0, F.lit(1.0)).otherwise(hit / F.size(ws))
+
+    return let(content_words_n(support), lambda have: let(words, lambda ws: share(ws, have)))
 
 
 def negated_n(text: Column, shared: Column) -> Column:
     """Is one of the shared words within three tokens after a negator?"""
-    toks, no = tokens_n(text), F.array(*map(F.lit, NEGATORS))
-    near = F.flatten(F.transform(toks, lambda t, i: F.when(F.array_contains(no, t), F.slice(toks, i + 2, 3)).otherwise(F.array().cast("array<string>"))))
-    return F.arrays_overlap(F.transform(near, stem), shared)
+    no = F.array(*map(F.lit, NEGATORS))
+
+    def near(toks: Column) -> Column:
+        after = F.transform(toks, lambda t, i: F.when(F.array_contains(no, t), F.slice(toks, i + 2, 3)).otherwise(F.array().cast("array<string>")))
+        return F.transform(F.flatten(after), stem)
+
+    return F.arrays_overlap(let(tokens_n(text), near), shared)
 
 
 def polarity_mismatch_n(a: Column, b: Column) -> Column:
-    shared = F.array_intersect(content_words_n(a), content_words_n(b))
-    return F.when(F.size(shared) == 0, F.lit(False)).otherwise(F.coalesce(negated_n(a, shared), F.lit(False)) != F.coalesce(negated_n(b, shared), F.lit(False)))
+    def differ(shared: Column) -> Column:
+        no = F.lit(False)
+        return F.when(F.size(shared) == 0, no).otherwise(F.coalesce(negated_n(a, shared), no) != F.coalesce(negated_n(b, shared), no))
+
+    return let(F.array_intersect(content_words_n(a), content_words_n(b)), differ)
 
 
 def names_n(text: Column) -> Column:
@@ -70,7 +84,7 @@ def sentences(text: Column) -> Column:
 
 def windows(items: Column, span: int) -> Column:
     """Runs of ``span`` neighbours, one from each item on, joined by blanks."""
-    return F.transform(items, lambda _, i: F.array_join(F.slice(items, i + 1, span), " "))
+    return let(items, lambda own: F.transform(own, lambda _, i: F.array_join(F.slice(own, i + 1, span), " ")))
 
 
 def canonical(value: Column) -> Column:

@@ -61,7 +61,7 @@ def breakdown(armed: DataFrame, truth: str, columns: list[str]) -> DataFrame:
     armed.createOrReplaceTempView("__armed")
     sets = ", ".join(f"(arm, {c})" for c in columns)
     cols = ", ".join(columns)
-    return armed.sparkSession.sql(f"SELECT arm, {cols}, count_if(kept AND NOT {truth}) AS wrong, count_if(kept) AS delivered FROM __armed GROUP BY GROUPING SETS ({sets}, (arm))")
+    return armed.sparkSession.sql(f"SELECT arm, {cols}, count_if(kept AND NOT `{truth}`) AS wrong, count_if(kept) AS delivered FROM __armed GROUP BY GROUPING SETS ({sets}, (arm))")
 
 
 def bootstrap(rows: DataFrame, page: str, top: Column, bottom: Column, resamples: int = 2000, seed: int = 11) -> DataFrame:

@@ -95,7 +95,7 @@ _LOCATED = """WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+'
 def quote_on_page(spark, sf_dir):
     """Which documents carry a benchmark passage: five-word runs find candidates, the quote test decides."""
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 5), " ")))
+    runs = lambda ws: X.let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 5), " "))))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     # The passage's first inner run of words is enough to find its page; each document's runs are matched against those alone.
     probe = items.withColumn("w", words(F.col("quote"))).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))
@@ -218,7 +218,7 @@ def page_part(spark, sf_dir):
 # Pages
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", U.html_text("html")["title"].alias("title"))
 
@@ -282,8 +282,8 @@ def overlap_scores(spark, sf_dir):
 
 @query("SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 2 = 0 OR c_custkey % 3 = 0 AND c_custkey % 2 = 1 AS mismatch FROM customer")
 def polarity_flags(spark, sf_dir):
-    a = F.concat(F.lit("Customer orders do"), F.when(F.col("c_custkey") % 3 == 0, " not").otherwise(""), F.lit(" ship overseas"))
-    b = F.concat(F.lit("Those orders are"), F.when(F.col("c_custkey") % 2 == 0, " never").otherwise(""), F.lit(" shipped from "), "c_mktsegment")
+    a = F.concat(F.lit("Customer orders do"), F.when(F.col("c_custkey") % 3 == 0, " not").otherwise(""), F.lit(" export goods"))
+    b = F.concat(F.lit("Those orders are"), F.when(F.col("c_custkey") % 2 == 0, " never").otherwise(""), F.lit(" exported from "), "c_mktsegment")
     return table(spark, sf_dir, "customer").select("c_custkey", X.polarity_mismatch_n(X.norm_composed(a), X.norm_composed(b)).alias("mismatch"))
 
 
@@ -304,17 +304,17 @@ def order_prose(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(key.alias("doc"), text.alias("text"))
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['MONEY', 'PERCENT'] || CASE WHEN o_orderkey % 3 = 0 THEN ['ATTRIBUTION'] ELSE [] END) AS kind FROM orders) GROUP BY 1")
+@query("SELECT kind, count(*) AS n FROM (SELECT unnest(['MONEY', 'PERCENT'] || CASE WHEN o_orderkey % 3 = 0 THEN ['ATTRIBUTION'] ELSE [] END || CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN ['DATE'] ELSE [] END) AS kind FROM orders) GROUP BY 1")
 def audit_by_kind(spark, sf_dir):
     return audit.specifics(order_prose(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) AS specifics, count(*) FILTER (o_orderkey % 2 = 0) AS linked FROM orders")
+@query("SELECT count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) + count(*) FILTER (o_orderkey BETWEEN 1900 AND 2099) AS specifics, count(*) FILTER (o_orderkey % 2 = 0) + count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey BETWEEN 1900 AND 2099) AS linked FROM orders")
 def audit_linked(spark, sf_dir):
     return audit.specifics(order_prose(spark, sf_dir)).agg(F.count(F.lit(1)).alias("specifics"), F.count_if("linked").alias("linked"))
 
 
-@query("SELECT CAST(sum(2 + (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) AS lines_with_specifics, count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) AS specifics, count(*) FILTER (o_orderkey % 2 = 0) AS linked, CAST(NULL AS BIGINT) AS traced FROM orders")
+@query("SELECT CAST(sum(2 + (CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS lines, count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) AS lines_with_specifics, count(*) * 2 + count(*) FILTER (o_orderkey % 3 = 0) + count(*) FILTER (o_orderkey BETWEEN 1900 AND 2099) AS specifics, count(*) FILTER (o_orderkey % 2 = 0) + count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey BETWEEN 1900 AND 2099) AS linked, CAST(NULL AS BIGINT) AS traced FROM orders")
 def audit_summary(spark, sf_dir):
     prose = order_prose(spark, sf_dir)
     return audit.summary(audit.specifics(prose), prose)
@@ -532,10 +532,10 @@ _BREAKS = "list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1)
 def near_break_asof(spark, sf_dir):
     """The breaks next to the middle of each document, backward and forward."""
     t = table(spark, sf_dir, "documents").withColumn("m", F.floor(F.length("text") / 2))
-    parts = F.regexp_extract_all("text", F.lit(r"(?s)([^.\n]*[.\n])"), 1)
+    parts = F.regexp_extract_all("text", F.lit(r"([^.\n]+(?:[.\n]|\z)|[.\n])"), 1)
     rows = t.select("doc_id", "m", F.posexplode(parts).alias("i", "s"))
     at = F.sum(F.length("s")).over(Window.partitionBy("doc_id", "m").orderBy("i"))
-    rows = rows.withColumn("at", at)
+    rows = rows.withColumn("at", at).where(F.col("s").rlike(r"[.\n]\z"))
     found = rows.groupBy("doc_id").agg(F.max(F.when(F.col("at") <= F.col("m"), F.col("at"))).alias("before"), F.min(F.when(F.col("at") >= F.col("m"), F.col("at"))).alias("after"))
     return t.select("doc_id").join(found, "doc_id", "left")
 
@@ -574,7 +574,7 @@ def runs_not_run(spark, sf_dir):
 def stream_verdict_windows(spark, sf_dir):
     """Event types stand for reasons; the stream of files is read to its end and its final counts are returned."""
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    counted = streams.verdict_windows(rows.select("ts", F.col("event_type").alias("reason")), late="3650 days")
+    counted = streams.verdict_windows(rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("reason")), late="3650 days")
     name = f"verdicts_{random.randrange(10**9)}"
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillcheck-stream-")
     running = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
