@@ -202,7 +202,8 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near copies, that with the smallest doc_id."""
     found = near_components(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), "component_id")
     found = stage(found, "near-groups")
-    gone = found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
+    # Written out, so that Spark knows its size when it chooses between a broadcast and a shuffle of the texts.
+    gone = stage(found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct(), "gone")
     stay = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
     twice = stage(found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").count().where("count > 1").select("__id"), "repeated")
     if twice.isEmpty():
