@@ -69,5 +69,6 @@ def map_batches(
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

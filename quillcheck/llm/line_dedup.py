@@ -39,7 +39,7 @@ def _hashes(text: bytes | None, min_chars: int) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(k) if len(k.decode("utf-8", "replace")) >= min_chars else None for k in keys]
 
 
-def line_counts(docs: DataFrame, min_chars: int = 1, most: int = 300_000) -> DataFrame:
+def line_counts(docs: DataFrame, min_chars: int = 1, most: int = 100_000) -> DataFrame:
     """key, n: documents with the key, summed inside each map task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

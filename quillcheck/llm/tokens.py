@@ -12,7 +12,7 @@ import unicodedata
 from array import array
 
 #: Parts kept per Python worker and generation; when the young ones are that many, the old ones go.
-CACHE = 300_000
+CACHE = 200_000
 _CODERS: dict[str, WordCoder] = {}
 _LAST_LATIN = "\u024f"
 

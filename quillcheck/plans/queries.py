@@ -431,7 +431,7 @@ def threshold_curve(spark, sf_dir):
     return curve(spark, sf_dir)
 
 
-@query(f"{_CURVE} SELECT threshold, true AS met FROM c WHERE unsupported_cut >= 20 ORDER BY true_kept DESC, threshold DESC LIMIT 1")
+@query(f"{_CURVE} SELECT threshold, unsupported_cut >= 20 AS met FROM c ORDER BY unsupported_cut >= 20 DESC, CASE WHEN unsupported_cut >= 20 THEN true_kept ELSE unsupported_cut END DESC, CASE WHEN unsupported_cut >= 20 THEN 0 ELSE true_kept END DESC, threshold DESC LIMIT 1")
 def threshold_choice(spark, sf_dir):
     return metrics.pick_threshold(curve(spark, sf_dir), 20)
 
