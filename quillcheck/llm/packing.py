@@ -1,12 +1,13 @@
 """Packing into sequences by a configuration linear program (operator 7).
 
 Every document becomes its token ids and an end id; only those longer than a sequence are cut. The driver
-sees the histogram of piece lengths alone, which has as many bins as a sequence has places. The
-linear program (fewest sequences over all ways to fill one) is solved by multiplicative
-weights: lengths that lag in coverage weigh more, and a knapsack over the weights prices the next
-filling. The fillings' amounts are rounded down and what is left goes by best fit, length
-by length. If best fit alone needs fewer sequences, its plan is taken. A piece finds its place by its rank
-among the pieces of its length, so no task holds more than a bucket's run at a time.
+sees the histogram of piece lengths alone, which has as many bins as a sequence has places. Long pieces
+fall into classes by length. The linear program (fewest sequences over all configurations that fill one) is
+solved by multiplicative weights: a class whose coverage lags weighs more, and a knapsack over the weights prices
+the next configuration. Its amounts are rounded down, and best fit, length by length, places what is left into the
+sequences begun and new ones. Several shares of the program's solution are tried, none among them; the plan with
+the fewest sequences is taken. A piece finds its place by its rank among the pieces of its length, so
+no task holds more than a bucket's run at a time.
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; an
 empty table gives an empty result; other columns are ignored.
@@ -28,7 +29,13 @@ from .tokens import coder, default_path
 
 #: A sequence's filling: (length, how often) pairs.
 Filling = tuple[tuple[int, int], ...]
-ROUNDS = 300
+#: The same by classes of lengths: (class, how often) pairs.
+Configuration = tuple[tuple[int, int], ...]
+ROUNDS = 1000
+#: Classes of the program, and the share of a sequence up to which a piece has none.
+GROUPS, SMALLEST = 96, 16
+#: Shares of the program's solution that are tried; best fit places the rest.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
 
 
 def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, buckets: int = 64) -> DataFrame:
@@ -53,54 +60,108 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
 
 
-def price(lengths: np.ndarray, worth: np.ndarray, have: np.ndarray, size: int) -> dict[int, int]:
-    """The filling of most worth: knapsack over the capacity, each length as often as it fits and there is."""
-    best, last = np.zeros(size + 1), np.full(size + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(size + 1), "right")
-    for c in range(1, size + 1):
+def classes(counts: np.ndarray, size: int, groups: int = GROUPS) -> list[tuple[int, int]]:
+    """First and last length of each class: long pieces by length, in runs of about equally many pieces.
+
+    Pieces of a ``SMALLEST``-th of a sequence or less have no class; they fill what the program leaves free.
+    """
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths > size // SMALLEST]
+    if not len(lengths):
+        return []
+    have = counts[lengths]
+    part = (np.cumsum(have) - have) * groups // have.sum()
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    return [(int(lengths[a]), int(lengths[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> dict[int, int]:
+    """The configuration (class: how often) of most worth that fits: an unbounded knapsack over the room."""
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    order = np.argsort(sizes, kind="stable")
+    ordered, worths = sizes[order], worth[order]
+    fits = np.searchsorted(ordered, np.arange(room + 1), "right")
+    for c in range(1, room + 1):
+        best[c] = best[c - 1]
         if n := fits[c]:
-            got = best[c - lengths[:n]] + worth[:n]
+            got = best[c - ordered[:n]] + worths[:n]
             k = int(got.argmax())
-            best[c], last[c] = (got[k], k) if got[k] > best[c - 1] else (best[c - 1], -1)
+            if got[k] > best[c]:
+                best[c], last[c] = got[k], k
     out: dict[int, int] = defaultdict(int)
-    c = size
+    c = room
     while c > 0:
         if last[c] < 0:
             c -= 1
-            continue
-        k = int(last[c])
-        if out[int(lengths[k])] < have[k]:
-            out[int(lengths[k])] += 1
-        c -= int(lengths[k])
-    return {k: v for k, v in out.items() if v}
+        else:
+            out[int(order[last[c]])] += 1
+            c -= int(ordered[last[c]])
+    return out
 
 
-def fractional(counts: np.ndarray, size: int, rounds: int = ROUNDS, step: float = 0.1) -> dict[Filling, float]:
-    """Fillings and amounts that nearly cover ``counts``, by multiplicative weights."""
-    lengths = np.flatnonzero(counts)
-    have = counts[lengths].astype(float)
-    at = {int(x): i for i, x in enumerate(lengths)}
-    done = np.zeros(len(lengths))
-    amounts: dict[Filling, float] = defaultdict(float)
-    for _ in range(rounds if len(lengths) else 0):
-        open_ = done < 1
-        if not open_.any():
-            break
-        worth = np.where(open_, lengths / size * np.exp(-0.5 * done), 0.0)
-        filling = price(lengths, worth, have * open_, size)
-        if not filling:
-            break
-        idx, times = np.array([at[k] for k in filling]), np.array(list(filling.values()))
-        room = have[idx] * (1 - done[idx]) / times
-        amount = float(min(room.min(), max(1.0, (step * have[idx] / times).max())))
-        amounts[tuple(sorted(filling.items(), reverse=True))] += amount
-        done[idx] += amount * times / have[idx]
-        done[done > 1 - 1e-9] = 1
+def program(sizes: np.ndarray, wanted: np.ndarray, room: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
+    """Configurations and amounts that nearly cover ``wanted`` pieces of each class with the fewest sequences.
+
+    Multiplicative weights: the amounts sum to the program's lower bound, in equal steps. A class whose coverage lags
+    behind the steps done weighs exponentially more, and each step goes to the configuration of most worth.
+    """
+    total = max(float((sizes * wanted).sum()) / room, float(wanted[2 * sizes > room].sum()))
+    rate, seen = 40 * np.log(len(sizes) + 1), np.zeros(len(sizes))
+    amounts: dict[Configuration, float] = defaultdict(float)
+    for t in range(rounds):
+        worth = np.exp(-rate * np.clip(seen - t / rounds, -0.5, 0.5)) / wanted
+        chosen = price(sizes, worth, room)
+        amounts[tuple(sorted(chosen.items()))] += total / rounds
+        for k, n in chosen.items():
+            seen[k] += n * total / rounds / wanted[k]
     return amounts
 
 
-def best_fit(counts: np.ndarray, size: int) -> dict[Filling, int]:
-    """Best fit decreasing, all pieces of a length at once; open sequences are kept by free places."""
+def rounded(amounts: dict[Configuration, float], share: float, wanted: np.ndarray) -> list[tuple[Configuration, int]]:
+    """A share of the amounts, rounded down to whole sequences that the pieces fill; the largest amounts first."""
+    have, out = wanted.astype(np.int64), []
+    for configuration, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
+        n = min([int(amount * share), *(int(have[k]) // times for k, times in configuration)])
+        if n > 0 and configuration:
+            out.append((configuration, n))
+            for k, times in configuration:
+                have[k] -= n * times
+    return out
+
+
+def filled(plan: list[tuple[Configuration, int]], kinds: list[tuple[int, int]], left: np.ndarray) -> dict[Filling, int]:
+    """The configurations with actual lengths, the longest of each class first, taken out of ``left``."""
+    queues = [[[x, int(left[x])] for x in range(a, b + 1) if left[x]] for a, b in kinds]
+    out: dict[Filling, int] = defaultdict(int)
+    for configuration, n in plan:
+        slots = []
+        for k in (k for k, times in configuration for _ in range(times)):
+            need, runs = n, []
+            while need:
+                head = queues[k][-1]
+                m = min(need, head[1])
+                runs.append([head[0], m])
+                left[head[0]] -= m
+                head[1] -= m
+                need -= m
+                if not head[1]:
+                    queues[k].pop()
+            slots.append(runs)
+        while n:
+            m = min(s[0][1] for s in slots)
+            own: Filling = ()
+            for s in slots:
+                own = _with(own, s[0][0], 1)
+                s[0][1] -= m
+                if not s[0][1]:
+                    s.pop(0)
+            out[own] += m
+            n -= m
+    return out
+
+
+def best_fit(counts: np.ndarray, size: int, begun: dict[Filling, int] | None = None) -> dict[Filling, int]:
+    """Best fit decreasing, all pieces of a length at once, into ``begun`` sequences and new ones, which are kept by free places."""
     free: dict[int, dict[Filling, int]] = defaultdict(dict)
     free_of = np.zeros(size + 1, np.int64)
 
@@ -108,6 +169,8 @@ def best_fit(counts: np.ndarray, size: int) -> dict[Filling, int]:
         free[room][filling] = free[room].get(filling, 0) + n
         free_of[room] += n
 
+    for filling, n in (begun or {}).items():
+        put(size - sum(a * b for a, b in filling), filling, n)
     for length in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[length])
         while left:
@@ -122,9 +185,9 @@ def best_fit(counts: np.ndarray, size: int) -> dict[Filling, int]:
             full = min(n, left // each)
             rest = left - full * each if full < n else 0
             if full:
-                put(room - each * length, (*filling, (length, each)), full)
+                put(room - each * length, _with(filling, length, each), full)
             if rest:
-                put(room - rest * length, (*filling, (length, rest)), 1)
+                put(room - rest * length, _with(filling, length, rest), 1)
             if n - full - bool(rest) and filling:
                 put(room, filling, n - full - bool(rest))
             left -= full * each + rest
@@ -135,22 +198,32 @@ def best_fit(counts: np.ndarray, size: int) -> dict[Filling, int]:
     return out
 
 
+def _with(filling: Filling, length: int, times: int) -> Filling:
+    own = dict(filling)
+    own[length] = own.get(length, 0) + times
+    return tuple(sorted(own.items(), reverse=True))
+
+
 def solve(counts: np.ndarray, size: int = 2048, rounds: int = ROUNDS) -> list[tuple[Filling, int]]:
-    """Fillings and how many sequences have each; every piece of ``counts`` is placed exactly once."""
-    plain = best_fit(counts, size)
-    left, plan = counts.astype(np.int64).copy(), defaultdict(int)
-    if -(-int((np.arange(len(counts)) * counts).sum()) // size) < sum(plain.values()):
-        for filling, amount in fractional(counts, size, rounds).items():
-            n = min([int(amount + 1e-6), *(int(left[k]) // m for k, m in filling)])
-            if n > 0:
-                plan[filling] += n
-                for k, m in filling:
-                    left[k] -= n * m
-        for filling, n in best_fit(left, size).items():
-            plan[filling] += n
-    if not plan or sum(plan.values()) >= sum(plain.values()):
-        plan = plain
-    return sorted(plan.items(), reverse=True)
+    """Fillings and how many sequences have each; every piece of ``counts`` is placed exactly once.
+
+    Of the plans that take different shares of the program's solution, that with the fewest sequences is kept, and of
+    equals that with the largest share.
+    """
+    counts = counts.astype(np.int64)
+    plans = []
+    if kinds := classes(counts, size):
+        unit = max(1, size // 256)
+        sizes = np.array([-(-last // unit) for _, last in kinds])
+        wanted = np.array([counts[a : b + 1].sum() for a, b in kinds], float)
+        # A last length that isn't a multiple of the unit may be rounded to more than a sequence.
+        amounts = program(np.minimum(sizes, size // unit), wanted, size // unit, rounds)
+        for share in SHARES:
+            left = counts.copy()
+            begun = filled(rounded(amounts, share, wanted), kinds, left)
+            plans.append(best_fit(left, size, begun))
+    plans.append(best_fit(counts, size))
+    return sorted(min(plans, key=lambda p: sum(p.values())).items(), reverse=True)
 
 
 class Places:

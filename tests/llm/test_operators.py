@@ -326,11 +326,21 @@ def test_plan_places_all_and_is_near_the_bound(seed):
 
 
 def test_configuration_program_beats_best_fit():
-    counts = np.zeros(13, np.int64)
-    counts[[6, 4, 3]] = [0, 600, 800]
-    counts[5] = 400
-    best = sum(packing.best_fit(counts, 12).values())
-    assert sum(n for _, n in packing.solve(counts, 12)) <= best
+    rng = np.random.default_rng(1)
+    counts = np.zeros(2049, np.int64)
+    for n in rng.integers(500, 1100, 300):
+        counts[n] += rng.integers(1, 500)
+    assert sum(n for _, n in packing.solve(counts)) < sum(packing.best_fit(counts, 2048).values())
+
+
+def test_program_covers_its_classes():
+    sizes, wanted = np.array([50, 34, 33, 20]), np.array([40.0, 100.0, 100.0, 60.0])
+    covered = np.zeros(4)
+    for configuration, amount in packing.program(sizes, wanted, 100).items():
+        assert sum(sizes[k] * n for k, n in configuration) <= 100
+        for k, n in configuration:
+            covered[k] += n * amount
+    assert (covered > 0.9 * wanted).all()
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.data())
