@@ -1,13 +1,14 @@
 """SimHash near-dedup with BK-trees (operator 9).
 
 A fingerprint has a bit set where more than half of a text's shingle hashes have it set. Fingerprints link
-when they differ in ``radius`` bits or fewer. Distinct fingerprints are dealt to shards by bands
+when they differ in ``radius`` bits or fewer. Distinct fingerprints are dealt to shards by parts
 of their bits, and each shard is a BK-tree: a child hangs from its parent by their integer
-Hamming distance, and a search follows only edges within the radius of its own distance. With more bands
-than the radius has bits, two fingerprints that link are equal in one band at least, so no link is
-lost. A tree goes to its probes by a shuffle and not by a broadcast, as trees grow with the
+Hamming distance, and a search follows only edges within the radius of its own distance. With the bits in
+m blocks, two fingerprints that link are equal in m - radius blocks at least; a shard is the fingerprints that are
+equal in one such choice of blocks, so no link is lost. There are more blocks for more fingerprints, which keeps shards
+small at any size. A tree goes to its probes by a shuffle and not by a broadcast, as trees grow with the
 input. A shard sends the links of a spanning forest, one per fingerprint at most, never all pairs;
-a very full shard is dealt to pairs of blocks, each a tree of its own.
+a very full shard is dealt to pairs of blocks of fingerprints, each a tree of its own.
 
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; a text with
 fewer words than a shingle is one shingle; repeated rows come back as often as they are; an empty table
@@ -18,11 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stage
@@ -125,9 +127,15 @@ def forest(fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
     return [(fps[i], fps[top(i)]) for i in range(len(fps)) if root[i] != i]
 
 
-def links(fps: DataFrame, radius: int, bands: list[tuple[int, int]], full: int = FULL) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that agree in a band (first byte from 1, bytes)."""
-    values = F.array(*(F.substring("fp", at, n) for at, n in bands))
+def masked(mask: int) -> Column:
+    """The bits of a fingerprint of 64 bits that a mask has, as a long."""
+    word = lambda at: F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long")
+    return F.shiftleft(word(1).bitwiseAND(mask >> 32), 32).bitwiseOR(word(5).bitwiseAND(mask & 0xFFFFFFFF))
+
+
+def links(fps: DataFrame, radius: int, parts: list[Column], full: int = FULL) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that agree in one of ``parts`` of their bits."""
+    values = F.array(*parts)
     rows = fps.select("fp", F.posexplode(values).alias("band", "value"))
     sizes = rows.groupBy("band", "value").count().where(F.col("count") > full)
     sizes = stage(sizes.select(F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("count") / full).cast("int").alias("blocks")), "full-shards")
@@ -165,16 +173,29 @@ def _links(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["a", "b"])
 
 
-def even_bands(radius: int, size: int = 8) -> list[tuple[int, int]]:
-    """As few bands of whole bytes as two fingerprints within the radius must share one of."""
-    n = next(k for k in (*range(1, size + 1),) if k > radius and size % k == 0)
-    return [(i * (size // n) + 1, size // n) for i in range(n)]
+def masks(radius: int, n: int, bits: int = 64, most: int = 64) -> list[int]:
+    """Masks such that two fingerprints within the radius agree under one of them at least.
+
+    The bits are cut into blocks; each mask is a choice of all blocks but as many as the radius. Of ``n`` even fingerprints
+    about ``most`` or fewer agree under a mask, as far as three blocks more than the radius reach.
+    """
+    for count in range(radius + 1, radius + 4):
+        cuts = [bits * i // count for i in range(count + 1)]
+        blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        chosen = [sum(c) for c in combinations(blocks, count - radius)]
+        if n >> min(m.bit_count() for m in chosen) <= most:
+            break
+    return chosen
+
 
+def near_groups(rows: DataFrame, radius: int, bands: list[tuple[int, int]] | None = None) -> DataFrame:
+    """fp, component_id of each distinct fingerprint of ``rows`` (doc_id, fp).
 
-def near_groups(rows: DataFrame, radius: int, bands: list[tuple[int, int]]) -> DataFrame:
-    """fp, component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    ``bands``: of wide fingerprints, (first byte from 1, bytes) of the parts that links must share one of.
+    """
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    edges = stage(links(fps.select("fp"), radius, bands), "links")
+    parts = [F.conv(F.hex(F.substring("fp", at, n)), 16, 10).cast("long") for at, n in bands] if bands else [masked(m) for m in masks(radius, fps.count())]
+    edges = stage(links(fps.select("fp"), radius, parts), "links")
     if edges.isEmpty():
         return fps.select("fp", F.col("least").alias("component_id"))
     named = components(edges)
@@ -188,14 +209,14 @@ def near_groups(rows: DataFrame, radius: int, bands: list[tuple[int, int]]) -> D
 def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, bands: list[tuple[int, int]] | None = None) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (smallest doc_id that links reach) of every row."""
     rows = stage(fingerprints(docs, shingle, words), "doc-fps")
-    groups = near_groups(rows, radius, bands or even_bands(radius, 8 * words)).withColumnRenamed("fp", "of")
+    groups = near_groups(rows, radius, bands).withColumnRenamed("fp", "of")
     return rows.join(groups, rows.fp == groups.of).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For texts of five-word shingles with a Jaccard similarity of 0.8: eight fingerprints of three-word
-#: shingles side by side. Such texts share 0.88 of these, so a bit differs with probability 0.116 (59 of 512) and two
-#: texts meet in one of 32 bands of 16 bits with probability 0.99 or more.
-WIDE = {"shingle": 3, "words": 8, "radius": 66, "bands": [(1 + 2 * i, 2) for i in range(32)]}
+#: For texts with a Jaccard similarity of 0.8 of their five-word shingles: eight fingerprints side by side. Such texts share
+#: 0.89 of their shingles' weight, so a bit differs with probability arccos(0.89) / pi = 0.15; of 512 bits that is 77, with a
+#: deviation of 8. Two texts meet if two neighbouring bytes are equal, with probability 0.98 or more.
+WIDE = {"shingle": 5, "words": 8, "radius": 88, "bands": [(i, 2) for i in range(1, 64)]}
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -417,12 +417,29 @@ def test_linked_chains_of_fingerprints(spark, full, monkeypatch):
         rows.append((1000 - i, x))
     df = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in rows], "doc_id long, fp binary")
     monkeypatch.setattr(simhash.links, "__defaults__", (full,))
-    groups = simhash.near_groups(df, 3, simhash.even_bands(3)).collect()
+    groups = simhash.near_groups(df, 3).collect()
     got = {int.from_bytes(r.fp, "big"): r.component_id for r in groups}
     want = brute_components(rows, 3)
     assert Counter((d, f"{v:016x}", got[v]) for d, v in rows) == want
 
 
+@pytest.mark.parametrize("n", [10, 10**8, 10**13])
+def test_masks_meet_whatever_links(n):
+    rng = random.Random(n)
+    chosen = simhash.masks(3, n)
+    assert len(chosen) == {10: 4, 10**8: 10, 10**13: 20}[n]
+    for _ in range(500):
+        x = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(not x & m for m in chosen)
+
+
+def test_more_blocks_give_the_same_groups(docs, monkeypatch):
+    rows = [(r.doc_id, brute_simhash(r.text)) for r in docs.collect()]
+    few = simhash.masks
+    monkeypatch.setattr(simhash, "masks", lambda radius, n: few(radius, 10**13))
+    assert Counter(collected(simhash.near_components(docs))) == brute_components(rows, 3)
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs_schema):
     rng = random.Random(8)
     rows = []
