@@ -38,8 +38,7 @@ def tokens_n(text: Column) -> Column:
 
 
 def content_words_n(text: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP))
-    return F.transform(F.filter(tokens_n(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(tokens_n(text), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP)), stem)
 
 
 def overlap_n(text: Column, support: Column, ignore: Column | None = None) -> Column:
@@ -57,10 +56,8 @@ def overlap_n(text: Column, support: Column, ignore: Column | None = None) -> Co
 
 def negated_n(text: Column, shared: Column) -> Column:
     """Is one of the shared words within three tokens after a negator?"""
-    no = F.array(*map(F.lit, NEGATORS))
-
     def near(toks: Column) -> Column:
-        after = F.transform(toks, lambda t, i: F.when(F.array_contains(no, t), F.slice(toks, i + 2, 3)).otherwise(F.array().cast("array<string>")))
+        after = F.transform(toks, lambda t, i: F.when(t.isin(*NEGATORS), F.slice(toks, i + 2, 3)).otherwise(F.array().cast("array<string>")))
         return F.transform(F.flatten(after), stem)
 
     return F.arrays_overlap(let(tokens_n(text), near), shared)

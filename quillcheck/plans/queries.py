@@ -32,8 +32,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with columns named, those alone, dealt to all cores for queries that do much work on each row."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.wide(rows.select(*columns)) if columns else rows
 
 
 # Claims about orders: eight kinds, of which the first is right and the others fail one test each.
@@ -59,7 +61,7 @@ def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     quote = F.when(c == 2, F.concat(F.lit("Order "), k, F.lit(" was cancelled by the buyer yesterday."))).when(c == 3, F.concat(F.lit("Order "), k, F.lit(" does not include gift wrapping."))).when(c == 6, "total").otherwise(true)
     subject = F.concat(F.when(c == 4, "Invoice ").otherwise("Order "), k)
     eid = F.when(c == 7, "e00000000").otherwise(X.evidence_id(F.concat(F.lit("https://orders.example/"), k)))
-    return table(spark, sf_dir, "orders").select(key.alias("pos"), F.concat(F.lit("c"), k).alias("id"), text.alias("text"), quote.alias("quote"), eid.alias("evidence_id"), subject.alias("subject"), F.lit("").alias("topic"))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(key.alias("pos"), F.concat(F.lit("c"), k).alias("id"), text.alias("text"), quote.alias("quote"), eid.alias("evidence_id"), subject.alias("subject"), F.lit("").alias("topic"))
 
 
 def order_verdicts(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -99,7 +101,7 @@ def quote_on_page(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     # The passage's first inner run of words is enough to find its page; each document's runs are matched against those alone.
     probe = items.withColumn("w", words(F.col("quote"))).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = docs.select("doc_id", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run")).join(probe, "run").select("doc_id", "item_id", "quote").distinct()
     return found.join(docs, "doc_id").where(U.passage("quote", "text").isNotNull()).select("item_id", "doc_id")
 
@@ -130,24 +132,25 @@ def _content_sql(x: str) -> str:
 
 @query(f"SELECT doc_id, sha256({_norm_sql('text')}) AS norm_sha256 FROM documents")
 def norm_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(U.norm("text"), 256).alias("norm_sha256"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(U.norm("text"), 256).alias("norm_sha256"))
 
 
 @query(f"SELECT doc_id, sha256({_norm_sql('text')}) AS norm_sha256 FROM documents")
 def norm_text_native(spark, sf_dir):
     """The same without Python: for composed text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.norm_composed(F.col("text")), 256).alias("norm_sha256"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(X.norm_composed(F.col("text")), 256).alias("norm_sha256"))
 
 
 @query(f"SELECT doc_id, CAST(len({_tokens_sql('text')}) AS INT) AS tokens, CAST(len({_content_sql('text')}) AS INT) AS content, CAST(len(list_distinct({_content_sql('text')})) AS INT) AS stems FROM documents")
 def token_stats(spark, sf_dir):
-    t = X.norm_composed(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokens_n(t)).alias("tokens"), F.size(X.content_words_n(t)).alias("content"), F.size(F.array_distinct(X.content_words_n(t))).alias("stems"))
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.norm_composed(F.col("text")).alias("t"))
+    sizes = X.let(X.content_words_n(F.col("t")), lambda c: F.struct(F.size(c).alias("content"), F.size(F.array_distinct(c)).alias("stems")))
+    return rows.select("doc_id", F.size(X.tokens_n(F.col("t"))).alias("tokens"), sizes.alias("s")).select("doc_id", "tokens", "s.*")
 
 
 @query(f"SELECT stem, count(*) AS n FROM (SELECT unnest({_content_sql('text')}) AS stem FROM documents) GROUP BY 1 ORDER BY n DESC, stem LIMIT 20")
 def content_word_top(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(X.content_words_n(X.norm_composed(F.col("text")))).alias("stem"))
+    words = table(spark, sf_dir, "documents", "text").select(F.explode(X.content_words_n(X.norm_composed(F.col("text")))).alias("stem"))
     return words.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stem").limit(20)
 
 
@@ -157,21 +160,21 @@ _SENTENCES_SQL = "list_filter(string_split(regexp_replace(regexp_replace(text, '
 @query(f"SELECT doc_id, CAST(len({_SENTENCES_SQL}) AS INT) AS sentences, CAST(list_max(list_transform({_SENTENCES_SQL}, lambda s: length(s))) AS INT) AS longest FROM documents")
 def sentence_counts(spark, sf_dir):
     s = X.sentences(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("sentences"), F.array_max(F.transform(s, F.length)).alias("longest"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(s).alias("sentences"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {_SENTENCES_SQL} AS s FROM documents)),
     w AS (SELECT doc_id, s || coalesce(' ' || lead(s) OVER (PARTITION BY doc_id ORDER BY i), '') AS w FROM s)
     SELECT doc_id, count(*) AS windows, CAST(sum(length(w)) AS BIGINT) AS chars FROM w GROUP BY 1""")
 def passage_windows(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").select("doc_id", X.windows(X.sentences(F.col("text")), 2).alias("w"))
+    runs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.windows(X.sentences(F.col("text")), 2).alias("w"))
     return runs.select("doc_id", F.size("w").cast("long").alias("windows"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
 @query("SELECT l_orderkey, l_linenumber, regexp_replace(format('{:.6f}', round(l_extendedprice, 2)), '\\.?0+$', '') AS price, '$' AS price_kind, CAST(CAST(round(100 * l_discount) AS INT) AS VARCHAR) AS discount, '%' AS discount_kind FROM lineitem")
 def figures_extracted(spark, sf_dir):
     text = F.concat(F.lit("The line costs US$"), F.format_number("l_extendedprice", 2), F.lit(", less "), F.format_string("%.0f", F.round(100 * F.col("l_discount"), 0)), F.lit(" percent."))
-    f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", U.figures(text).alias("f"))
+    f = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").select("l_orderkey", "l_linenumber", U.figures(text).alias("f"))
     return f.select("l_orderkey", "l_linenumber", F.col("f")[0]["value"].alias("price"), F.col("f")[0]["kind"].alias("price_kind"), F.col("f")[1]["value"].alias("discount"), F.col("f")[1]["kind"].alias("discount_kind"))
 
 
@@ -220,16 +223,16 @@ def page_part(spark, sf_dir):
 
 @query("SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", U.html_text("html")["title"].alias("title"))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", U.html_text("html")["title"].alias("title"))
 
 
 @query()
 def html_text_length(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(U.html_text("html")["text"]).alias("chars"))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.length(U.html_text("html")["text"]).alias("chars"))
 
 
 def page_links_of(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("home"), F.posexplode(U.links("html", "url")).alias("pos", "l"))
+    found = table(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", F.col("url").alias("home"), F.posexplode(U.links("html", "url")).alias("pos", "l"))
     return found.select("page_id", "home", "pos", "l.url", "l.words")
 
 
@@ -301,7 +304,7 @@ def order_prose(spark, sf_dir):
     key, k = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     link = F.when(key % 2 == 0, " (https://orders.example/x)").otherwise("")
     text = F.concat(F.lit("Order "), k, F.lit(" costs $"), F.format_number("o_totalprice", 2), F.lit(" in total."), link, F.lit("\n- About 12% of it is tax."), F.when(key % 3 == 0, "\n- Gartner surveyed it.").otherwise(""))
-    return table(spark, sf_dir, "orders").select(key.alias("doc"), text.alias("text"))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(key.alias("doc"), text.alias("text"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT unnest(['MONEY', 'PERCENT'] || CASE WHEN o_orderkey % 3 = 0 THEN ['ATTRIBUTION'] ELSE [] END || CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN ['DATE'] ELSE [] END) AS kind FROM orders) GROUP BY 1")
@@ -496,7 +499,7 @@ def line_check(spark, sf_dir):
     price = lambda x: F.concat(F.lit("Order "), k, F.lit(" costs $"), F.format_number(x, 2))
     text = F.when(c == 3, price(F.col("o_totalprice") + 2)).when(c == 4, "Reliable premium logistics everywhere").otherwise(price(F.col("o_totalprice")))
     cites = F.when(c == 1, F.array().cast("array<string>")).when(c == 2, F.array(F.lit("gone"))).otherwise(F.array(F.concat(F.lit("f"), k)))
-    lines = table(spark, sf_dir, "orders").select(key.alias("line_id"), F.lit("we_win").alias("section"), text.alias("text"), F.lit("").alias("objection"), cites.alias("cites"))
+    lines = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select(key.alias("line_id"), F.lit("we_win").alias("section"), text.alias("text"), F.lit("").alias("objection"), cites.alias("cites"))
     done = cards.check_lines(lines, order_facts(spark, sf_dir))
     return done.select("line_id", "kept", F.regexp_extract("reason", "(cites nothing|cites a fact that is not there|facts lack a figure|facts say less)", 1).alias("reason"))
 

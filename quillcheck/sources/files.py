@@ -17,6 +17,15 @@ _LEDGER = "id string, url string, text string, title string, fetched_at string,
 _FIELDS = ("id", "text", "quote", "evidence_id", "subject", "topic")
 
 
+def wide(rows: DataFrame) -> DataFrame:
+    """A scan's rows, dealt anew where it has fewer partitions than there are cores: small files and much work a row.
+
+    Large tables have more partitions than cores and stay as they are. For scans only: a plan with exchanges would run them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
     """Claims of JSON files that hold a list of objects or {"claims": [...]}; anything else raises.
 
