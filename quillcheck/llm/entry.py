@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import wide
 from . import chat, dac, exact_dedup, line_dedup, mixing, packing, quality, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with columns named, those alone, dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return wide(rows.select(*columns)) if columns else rows
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,23 +33,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), least_bytes=0)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return line_dedup.line_report(table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10, min_chars=1)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), size=2048, end_id=0)
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), size=2048, end_id=0)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +57,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return simhash.near_components(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, radius=3)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
