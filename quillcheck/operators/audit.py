@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
@@ -22,15 +23,19 @@ def trace(found: DataFrame, sources: DataFrame, least: float = 0.4) -> DataFrame
     """``found`` with traced_to: the first source (seq) with two neighbouring sentences that carry all figures of the specific and
     at least that share of its line's content words.
 
-    Candidate passages meet a line by a content word that both have, dealt by that word and the passage's figures; the share
-    is then exact, so no line without figures needs all passages.
+    A line is looked up by its rarer content words alone: its most frequent ones, as long as they make up less than the
+    share, cannot reach it without another. What meets is then tested exactly.
     """
     keyed = found.withColumn("__id", F.xxhash64("doc", "unit", "kind", "text", "line"))
     lines = keyed.select("__id", "text", "line").distinct().withColumn("figs", F.transform(U.figures("text"), lambda f: f["value"])).withColumn("cw", X.content_words_n(U.norm("line")))
     runs = sources.select("seq", "url", F.explode(U.passages("text", F.lit(2))).alias("p"))
     runs = runs.select("seq", "url", F.transform(U.figures("p"), lambda f: f["value"]).alias("nums"), X.content_words_n(U.norm("p")).alias("have")).withColumn("have", F.array_distinct("have"))
     by_word = runs.withColumn("w", F.explode("have"))
-    probe = lines.withColumn("w", F.explode(F.array_distinct("cw")))
+    often = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+    words = lines.select("__id", F.size("cw").alias("size"), F.explode("cw").alias("w")).groupBy("__id", "size", "w").agg(F.count(F.lit(1)).alias("times"))
+    common = Window.partitionBy("__id").orderBy(F.desc("often"), "w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.join(often, "w").withColumn("so_far", F.sum("times").over(common)).where(F.col("so_far") >= least * F.col("size"))
+    probe = lines.join(words.select("__id", "w"), "__id")
     met = probe.join(by_word, "w").where(F.size(F.array_except("figs", "nums")) == 0)
     share = F.size(F.filter("cw", lambda w: F.array_contains("have", w))) / F.size("cw")
     best = met.where(share >= least).groupBy("__id").agg(F.min_by("url", "seq").alias("traced_to"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +44,7 @@ def check_lines(lines: DataFrame, facts: DataFrame, names: str = "") -> DataFram
 
 def check_brief_lines(lines: DataFrame, facts: DataFrame, company: str, seller: str) -> DataFrame:
     """Brief lines: no person, a reason to call cites a signal, a figure needs one too; the seller's words ("you") are always cited."""
-    you = facts.sparkSession.createDataFrame([("you", seller, seller)], "id string, text string, quote string")
+    you = seller_page(facts.sparkSession, seller)
     signals = F.filter(F.coalesce("cites", F.array().cast("array<string>")), lambda c: c != "you")
     l = lines.withColumn("__sig", signals).withColumn("cites", F.concat(signals, F.array(F.lit("you"))))  # noqa: E741
     l = l.withColumn("__who", U.person("text", F.lit(company))).withColumn("__new", F.size(F.array_except(U.figures("text"), U.figures(F.lit(seller)))))  # noqa: E741
@@ -100,3 +100,55 @@ def pick_pages(links: DataFrame, limit: int = 4) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("k"))
     names = F.array(*(F.lit(k) for k, _ in PAGE_KINDS))
     return best.withColumn("n", n).where(F.col("n") <= limit).select("page_id", F.element_at(names, F.col("k") + 1).alias("kind"), "url")
+
+
+def seller_page(spark: SparkSession, words: str) -> DataFrame:
+    """The seller's own words as a fact that needs no page."""
+    return spark.createDataFrame([("you", words, words)], "id string, text string, quote string")
+
+
+def extraction_prompts(pages: DataFrame, most: int = 12, chars: int = 40_000) -> DataFrame:
+    """One prompt per page (seq, id, url, title, text); ``partial`` marks pages that are longer than a prompt takes."""
+    head = F.concat(F.lit("Address: "), X.as_data(F.coalesce("url", F.lit(""))), F.lit("\nTitle: "), X.as_data(F.coalesce("title", F.lit(""))), F.lit(f"\nList {most} facts at most.\n<page>\n"))
+    body = X.as_data(F.substring(F.coalesce("text", F.lit("")), 1, chars))
+    return pages.select("seq", "id", F.concat(head, body, F.lit("\n</page>")).alias("prompt"), (F.length("text") > chars).alias("partial"))
+
+
+def extracted(replies: DataFrame, topics: list[str], fallback: str, most: int = 12) -> DataFrame:
+    """Claims from replies (seq, id, subject, reply {"facts": [{"text", "quote", "topic"}]}): id, text, quote, evidence_id, subject, topic.
+
+    Of a page the first ``most`` facts count; a text that came before, on any page, is left out, and
+    a topic that isn't one of ``topics`` becomes ``fallback``.
+    """
+    shape = "struct<facts:array<struct<text:string,quote:string,topic:string>>>"
+    facts = replies.select("seq", F.col("id").alias("evidence_id"), "subject", F.posexplode(F.slice(F.from_json("reply", shape)["facts"], 1, most)).alias("k", "f"))
+    facts = facts.withColumn("text", F.trim(F.coalesce("f.text", F.lit("")))).where("text <> ''").withColumn("__n", U.norm("text"))
+    cols = ("seq", "k", "evidence_id", "subject", "text", "f")
+    first = facts.groupBy("__n").agg(F.min_by(F.struct(*cols), F.struct("seq", "k")).alias("r")).select("r.*")
+    topic = F.when(F.col("f.topic").isin(*topics), F.col("f.topic")).otherwise(F.lit(fallback))
+    name = F.concat(F.lit("f"), F.col("seq").cast("string"), F.lit("."), (F.col("k") + 1).cast("string"))
+    return first.select("seq", "k", name.alias("id"), "text", F.coalesce("f.quote", F.lit("")).alias("quote"), "evidence_id", "subject", topic.alias("topic"))
+
+
+def advice(lines: DataFrame, answers: DataFrame) -> DataFrame:
+    """Kept lines (line_id, kept, reason) after a reader's answers (line_id, adds_fact, what): unread ones and those that add a fact go."""
+    a = answers.select(F.col("line_id").alias("__id"), "adds_fact", "what")
+    j = lines.join(a, lines["line_id"] == F.col("__id"), "left")
+    why = F.when(~F.col("kept"), F.col("reason")).when(F.col("adds_fact").isNull(), "no reader read it").when(F.col("adds_fact"), F.concat(F.lit("it adds a fact: "), F.coalesce("what", F.lit("")))).otherwise(F.col("reason"))
+    stays = F.col("kept") & F.coalesce(~F.col("adds_fact"), F.lit(False))
+    return j.select(*({"kept": stays, "reason": why}.get(c, F.col(c)).alias(c) for c in lines.columns))
+
+
+def panel(verdicts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The counts that stand beside a card, as one row with its text."""
+    v = verdicts.agg(F.count(F.lit(1)).alias("facts"), F.count_if("supported").alias("kept_facts"), F.count_if(F.col("reason") == "unread").alias("unread"))
+    n = lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if("kept").alias("kept_lines"))
+    both = v.join(n)  # two rows of one
+    text = F.concat(X.percent(F.col("kept_facts"), F.col("facts")), F.lit(" facts stand, "), X.percent(F.col("kept_lines"), F.col("lines")), F.lit(" lines stand"), F.when(F.col("unread") > 0, F.concat(F.lit(", "), F.col("unread").cast("string"), F.lit(" unread"))).otherwise(""))
+    return both.withColumn("text", text)
+
+
+def card_json(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One JSON object per fact, kept or cut, with its reason; page texts stay out."""
+    v = verdicts.select("pos", "supported", "reason", "detail", "url")
+    return claims.join(v, "pos").select("pos", F.to_json(F.struct("id", "text", "quote", "evidence_id", "subject", "topic", "supported", "reason", "detail", "url")).alias("value"))

@@ -129,3 +129,71 @@ def need_all(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 def strict_lenient(a: Column, b: Column) -> tuple[Column, Column]:
     return a & b, a | b
+
+
+def difference(armed: DataFrame, truth: str, page: str, more: str = "both", less: str = "keep_all", enough: int = 20, resamples: int = 2000, seed: int = 11) -> DataFrame:
+    """wrong and delivered of two arms, the difference of their error rates with its interval, and the bar.
+
+    The bar is met if the rate of ``more`` is at most half that of ``less`` and the whole interval is below 0; with fewer
+    than ``enough`` wrong in ``less`` nothing is measurable.
+    """
+    spark = armed.sparkSession
+    n = lambda arm, bad: F.count_if((F.col("arm") == arm) & F.col("kept") & (~F.col(truth) if bad else F.lit(True)))
+    names = {"more_wrong": n(more, True), "more_of": n(more, False), "less_wrong": n(less, True), "less_of": n(less, False)}
+    sums = armed.groupBy(F.col(page).cast("string").alias("page")).agg(*(c.alias(k) for k, c in names.items()))
+    ids = sorted(r.page for r in sums.select("page").collect())
+    rng = random.Random(seed)
+    drawn = [(rep, p, k) for rep in range(resamples) for p, k in Counter(rng.choices(ids, k=len(ids))).items()] if ids else []
+    gap = F.try_divide("more_wrong", "more_of") - F.try_divide("less_wrong", "less_of")
+    drawn_sums = spark.createDataFrame(drawn, "rep int, page string, n int").join(sums, "page").groupBy("rep").agg(*(F.sum(F.col("n") * F.col(k)).alias(k) for k in names))
+    interval = drawn_sums.select(gap.alias("v")).where("v is not null").agg(F.bround(nearest_rank(F.col("v"), 0.025), 4).alias("low"), F.bround(nearest_rank(F.col("v"), 0.975), 4).alias("high"))
+    total = sums.agg(*(F.sum(k).alias(k) for k in names)).withColumn("difference", F.bround(gap, 4))
+    halves = F.try_divide("more_wrong", "more_of") <= F.try_divide("less_wrong", "less_of") / 2
+    both = total.join(interval)  # two rows of one
+    met = (F.col("less_wrong") >= enough) & halves & (F.col("high") < 0)
+    return both.withColumn("measurable", F.col("less_wrong") >= enough).withColumn("met", F.coalesce(met, F.lit(False)))
+
+
+def outcome(page_met: Column, quote_met: Column, kept_met: Column) -> Column:
+    """Which of three conclusions the figures allow, and whether the cost must be told."""
+    number = F.when(page_met, 1).when(quote_met, 2).otherwise(3)
+    return F.struct(number.alias("outcome"), (~kept_met).alias("tell_cost"))
+
+
+def true_per_page(armed: DataFrame, truth: str, page: str, extractor: str) -> DataFrame:
+    """True claims delivered for each page that an extractor read, of each arm."""
+    calls = F.count_distinct(page, extractor)
+    return armed.groupBy("arm").agg(F.bround(F.count_if(F.col("kept") & F.col(truth)) / calls, 2).alias("per_page"))
+
+
+def by_words(rows: DataFrame, words: list[str]) -> DataFrame:
+    """written and past_both of the techniques whose name has one of some words."""
+    named = F.exists(F.array(*map(F.lit, words)), lambda w: F.lower("technique").contains(w))
+    return rows.where(named).agg(F.count(F.lit(1)).alias("written"), F.count_if(F.col("past_code") & F.col("past_reader")).alias("past_both"))
+
+
+def planted(rows: DataFrame, allowed: int = 1) -> DataFrame:
+    """Of pairs (pair, variant plain or planted, place, past_code, past_reader), how often planted words help.
+
+    Only pairs of which both versions pass the code check count. One row per place and one (null place) for all.
+    """
+    of = lambda v, c: F.bool_or(F.when(F.col("variant") == v, F.coalesce(F.col(c), F.lit(False))))
+    place = F.max(F.when(F.col("variant") == "planted", F.col("place"))).alias("place")
+    pairs = rows.groupBy("pair").agg(place, *(of(v, c).alias(f"{v}_{c}") for v in ("plain", "planted") for c in ("past_code", "past_reader")))
+    whole = pairs.where("plain_past_code and planted_past_code")
+    out = whole.rollup("place").agg(F.grouping("place").alias("g"), F.count(F.lit(1)).alias("pairs"), F.count_if("plain_past_reader").alias("plain"), F.count_if("planted_past_reader").alias("planted"), F.count_if(F.col("planted_past_reader") & ~F.col("plain_past_reader")).alias("only_planted"))
+    return out.select(F.when(F.col("g") == 0, F.col("place")).alias("place"), (F.col("g") == 1).alias("all_places"), "pairs", "plain", "planted", "only_planted", (F.col("planted") - F.col("plain") <= allowed).alias("met"))
+
+
+def reach(rows: DataFrame, ways: list[str]) -> DataFrame:
+    """Pages read of each kind, a column for each way to fetch."""
+    return rows.groupBy("kind").pivot("way", ways).agg(F.count_if("read"))
+
+
+def worst(rows: DataFrame, name: str) -> DataFrame:
+    """The group (name, kept, of) that keeps the least share; of equals the first by name."""
+    return rows.where(F.col("of") > 0).agg(F.min(F.struct((F.col("kept") / F.col("of")).alias("share"), F.col(name).alias("name"))).alias("m")).select(F.col("m.name").alias("name"), F.bround("m.share", 4).alias("share"))
+
+
+def per_hundred(cost: Column, n: Column) -> Column:
+    return F.bround(F.try_divide(100 * cost, n), 4)

@@ -14,7 +14,7 @@ from ..functions import textexpr as X
 from ..functions import udfs as U
 from ..operators import audit, cards, check, metrics, reader
 from ..schemas import STOP, WALL_MARKS
-from ..sources import files
+from ..sources import files, web
 from ..streaming import verdicts as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,9 +241,15 @@ def page_links(spark, sf_dir):
     return page_links_of(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+@query("""SELECT s_suppkey AS page_id, unnest(['news', 'careers', 'about'] || CASE WHEN s_suppkey % 2 = 0 THEN ['customers'] ELSE [] END) AS kind,
+    unnest(['https://www.s' || s_suppkey || '.example/news', 'https://jobs.s' || s_suppkey || '.example/', 'https://www.s' || s_suppkey || '.example/company/about'] || CASE WHEN s_suppkey % 2 = 0 THEN ['https://www.s' || s_suppkey || '.example/customers'] ELSE [] END) AS url FROM supplier""")
 def pick_pages(spark, sf_dir):
-    return cards.pick_pages(page_links_of(spark, sf_dir))
+    """Each supplier's site has a home page with links to itself, to another site, to a file and to pages of four kinds."""
+    k = F.col("s_suppkey").cast("string")
+    own = lambda x: F.concat(F.lit("https://www.s"), k, F.lit(".example"), F.lit(x))
+    links = [own("/"), F.lit("https://other.example/about"), own("/company/about"), own("/news"), F.concat(F.lit("https://jobs.s"), k, F.lit(".example/")), own("/about/brochure.pdf"), own("/blog"), F.when(F.col("s_suppkey") % 2 == 0, own("/customers")).otherwise(own("/a/b/customers"))]
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), own("/").alias("home"), F.posexplode(F.array(*links)).alias("pos", "url"))
+    return cards.pick_pages(rows)
 
 
 @query(f"SELECT conv_id, turn, length(text) <= 2000 AND ({' OR '.join(f'''contains(lower(text), '{m}')''' for m in WALL_MARKS)}) AS wall FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Just a moment... ' ELSE '' END || text AS text FROM conversations)")
@@ -266,6 +272,25 @@ def site_groups(spark, sf_dir):
     return p.groupBy(X.host(F.col("url")).alias("site"), X.company_name(F.col("url")).alias("company")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query("SELECT s_suppkey AS seq, CASE s_suppkey % 5 WHEN 1 THEN 'private address' WHEN 2 THEN 'no http address' WHEN 3 THEN 'forbidden by the site''s rules' WHEN 4 THEN 'too short' END AS problem, CASE WHEN s_suppkey % 5 = 0 THEN 'Supplier ' || s_suppkey ELSE CASE WHEN s_suppkey % 5 = 4 THEN 'Supplier ' || s_suppkey ELSE '' END END AS title FROM supplier")
+def fetched_pages(spark, sf_dir):
+    """Addresses of suppliers against a stand-in for the network: public, private, no web address, forbidden, and thin pages."""
+    key = F.col("s_suppkey")
+    k, c = key.cast("string"), key % 5
+    url = F.when(c == 1, F.concat(F.lit("http://10.0.0.1/"), k)).when(c == 2, F.concat(F.lit("ftp://h/"), k)).when(c == 3, F.concat(F.lit("https://closed.example/"), k)).when(c == 4, F.concat(F.lit("https://thin.example/"), k)).otherwise(F.concat(F.lit("https://open.example/"), k))
+    urls = table(spark, sf_dir, "supplier").select(key.alias("seq"), url.alias("url"))
+    return web.fetch(urls, stand_in, lambda host: ["10.0.0.1" if host == "10.0.0.1" else "8.8.8.8"]).select("seq", "problem", "title")
+
+
+def stand_in(url: str) -> web.Response:
+    """A network of three sites."""
+    site, _, path = url.removeprefix("https://").partition("/")
+    if path == "robots.txt":
+        return web.Response(200 if site == "closed.example" else 404, "text/plain", "utf-8", b"User-agent: *\nDisallow: /")
+    body = f"<title>Supplier {path}</title><p>{'Parts and more parts. ' * (1 if site == 'thin.example' else 20)}</p>"
+    return web.Response(200, "text/html", "utf-8", body.encode())
+
+
 # Claim and support
 
 
@@ -483,6 +508,50 @@ def label_merge(spark, sf_dir):
     return l.join(person, "doc_id", "left").select("doc_id", F.coalesce("own", "quality").alias("label"))
 
 
+@query()
+def error_difference(spark, sf_dir):
+    return metrics.difference(metrics.arms(labelled(spark, sf_dir)), "true", "source")
+
+
+@query(f"{_L} SELECT arm, round(count(*) FILTER (kept AND true_) / count(DISTINCT source || '|' || lang), 2) AS per_page FROM a GROUP BY 1")
+def true_per_page(spark, sf_dir):
+    return metrics.true_per_page(metrics.arms(labelled(spark, sf_dir)), "true", "source", "lang")
+
+
+@query(f"{_L} SELECT count(*) AS written, count(*) FILTER (code AND said) AS past_both FROM l WHERE contains(source, '1') OR contains(source, '2')")
+def techniques_by_words(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select(F.upper("source").alias("technique"), F.col("code").alias("past_code"), F.coalesce("said_yes", F.lit(False)).alias("past_reader"))
+    return metrics.by_words(rows, ["1", "2"])
+
+
+@query("""WITH p AS (SELECT o_orderkey AS pair, o_orderpriority AS place, o_orderkey % 3 = 0 AS plain, o_orderkey % 4 < 2 AS planted FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)
+    SELECT place, grouping(place) = 1 AS all_places, count(*) AS pairs, count(*) FILTER (plain) AS plain, count(*) FILTER (planted) AS planted, count(*) FILTER (planted AND NOT plain) AS only_planted, count(*) FILTER (planted) - count(*) FILTER (plain) <= 1 AS met FROM p GROUP BY ROLLUP (place)""")
+def planted_words(spark, sf_dir):
+    """Each order is a pair; every seventh fails the code check as it was and every eleventh with words planted."""
+    key = F.col("o_orderkey")
+    version = lambda v, code, said: F.struct(F.lit(v).alias("variant"), code.alias("past_code"), said.alias("past_reader"))
+    both = F.array(version("plain", key % 7 != 0, key % 3 == 0), version("planted", key % 11 != 0, key % 4 < 2))
+    rows = table(spark, sf_dir, "orders").select(key.alias("pair"), F.col("o_orderpriority").alias("place"), F.explode(both).alias("v")).select("pair", "place", "v.*")
+    return metrics.planted(rows)
+
+
+@query("SELECT c_mktsegment AS kind, count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 3 > 0) AS code, count(*) FILTER (c_custkey % 2 = 1 AND c_custkey % 3 > 0) AS browser FROM customer GROUP BY 1")
+def pages_reached(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("kind"), F.when(F.col("c_custkey") % 2 == 0, "code").otherwise("browser").alias("way"), (F.col("c_custkey") % 3 > 0).alias("read"))
+    return metrics.reach(rows, ["code", "browser"])
+
+
+@query(f"{_L}, r AS (SELECT source AS name, count(*) FILTER (kept) / count(*) AS share FROM a WHERE true_ AND arm = 'both' GROUP BY 1) SELECT name, round(share, 4) AS share FROM r ORDER BY share, name LIMIT 1")
+def worst_kind(spark, sf_dir):
+    kept = metrics.retention(metrics.arms(labelled(spark, sf_dir)), "true", ["source"]).where("arm = 'both'")
+    return metrics.worst(kept, "source")
+
+
+@query("SELECT o_orderstatus, round(100 * sum(o_totalprice) / count(*), 4) AS per_hundred FROM orders GROUP BY 1")
+def cost_per_hundred(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(metrics.per_hundred(F.sum("o_totalprice"), F.count(F.lit(1))).alias("per_hundred"))
+
+
 # Cards
 
 
@@ -525,6 +594,35 @@ def person_filter(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", U.person(text, F.lit("Acme Works")).alias("person"))
 
 
+@query("""SELECT o_orderkey AS seq, CAST(unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0, 1, 2] ELSE [1, 2] END) AS INT) AS k, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['price', 'feature', 'feature'] ELSE ['feature', 'feature'] END) AS topic
+    FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1)""")
+def extracted_facts(spark, sf_dir):
+    """Replies of four facts of which three count; of odd orders the first repeats, in other letters, that of the order before."""
+    key = F.col("o_orderkey")
+    price = F.concat(F.lit("Order "), (key - key % 2).cast("string"), F.lit(" is paid"))
+    fact = lambda text, topic: F.struct(text.alias("text"), F.lit("q").alias("quote"), F.lit(topic).alias("topic"))
+    said = lambda x: F.concat(F.lit("Order "), key.cast("string"), F.lit(x))
+    facts = F.array(fact(F.when(key % 2 == 0, price).otherwise(F.upper(price)), "price"), fact(said(" ships"), "feature"), fact(said(" is green"), "colour"), fact(said(" is one too many"), "price"))
+    even = table(spark, sf_dir, "orders", "o_orderkey")
+    before = even.select((key - 1).alias("o_orderkey")).where("o_orderkey % 2 = 0")
+    rows = even.union(before).distinct()
+    replies = rows.select(key.alias("seq"), F.lit("e").alias("id"), F.lit("Order").alias("subject"), F.to_json(F.struct(facts.alias("facts"))).alias("reply"))
+    return cards.extracted(replies, ["price", "feature"], "feature", 3).join(even.select(key.alias("seq")), "seq").select("seq", "k", "topic")
+
+
+@query("SELECT o_orderkey AS line_id, o_orderkey % 5 > 2 AS kept, CASE o_orderkey % 5 WHEN 0 THEN 'cut before' WHEN 1 THEN 'no reader read it' WHEN 2 THEN 'it adds a fact: more' ELSE '' END AS reason FROM orders")
+def advice_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_id"), (F.col("o_orderkey") % 5 > 0).alias("kept"), F.when(F.col("o_orderkey") % 5 == 0, "cut before").otherwise("").alias("reason"))
+    answers = lines.where("line_id % 5 <> 1").select("line_id", (F.col("line_id") % 5 == 2).alias("adds_fact"), F.lit("more").alias("what"))
+    return cards.advice(lines, answers)
+
+
+@query("SELECT count(*) AS facts, count(*) FILTER (o_orderkey % 8 = 0) AS kept_facts, 0::BIGINT AS unread, count(*) AS lines, count(*) FILTER (o_orderkey % 8 = 0) AS kept_lines, format('{} of {} ({}%) facts stand, {} of {} ({}%) lines stand', count(*) FILTER (o_orderkey % 8 = 0), count(*), CAST(round_even(100.0 * count(*) FILTER (o_orderkey % 8 = 0) / count(*), 0) AS INT), count(*) FILTER (o_orderkey % 8 = 0), count(*), CAST(round_even(100.0 * count(*) FILTER (o_orderkey % 8 = 0) / count(*), 0) AS INT)) AS text FROM orders")
+def card_panel(spark, sf_dir):
+    v = order_verdicts(spark, sf_dir)
+    return cards.panel(v, table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8 == 0).alias("kept")))
+
+
 # Joins and sets as relations
 
 

@@ -128,3 +128,16 @@ def dedupe_first(rows: DataFrame, key: F.col, *order: str) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def read_corpus(spark: SparkSession, index: str, folder: str) -> DataFrame:
+    """seq, company, url, title, text of an encyclopedia corpus: an index (company, url, file) beside text files."""
+    rows = spark.read.schema("company string, url string, file string").json(index, multiLine=True)
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("file"), F.col("value").alias("text"))
+    name = F.replace(F.url_decode(F.element_at(F.split("url", "/"), -1)), F.lit("_"), F.lit(" "))
+    return rows.join(texts, "file").select("company", "url", F.concat(name, F.lit(" - Wikipedia")).alias("title"), "text")
+
+
+def report_json(verdicts: DataFrame) -> DataFrame:
+    """One JSON object per verdict, for files; totals are in ``check.report``."""
+    return verdicts.select("pos", F.to_json(F.struct("claim_id", "supported", "reason", "detail", "match", "stale", "url")).alias("value"))
