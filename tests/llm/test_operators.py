@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillcheck.llm import chat, dac, exact_dedup, line_dedup, mixing, packing, quality, simhash, tokens, topk, warc
+from quillcheck.llm import chat, dac, exact_dedup, graph, line_dedup, mixing, packing, quality, simhash, tokens, topk, warc
 from quillcheck.llm.cuckoo import CuckooFilter
 
 BLANKS = " \t\n\v\f\r"
@@ -440,6 +440,18 @@ def test_more_blocks_give_the_same_groups(docs, monkeypatch):
     assert Counter(collected(simhash.near_components(docs))) == brute_components(rows, 3)
 
 
+def test_components_of_paths_stars_and_trees(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2000 + rng.randrange(i)) for i in range(1, 200)] + [(5, 4), (7, 7)]
+    df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in edges], "a binary, b binary")
+    groups = defaultdict(set)
+    for r in graph.components(df).collect():
+        groups[bytes(r.label)].add(int.from_bytes(r.node, "big"))
+    assert sorted(map(sorted, groups.values())) == [list(range(301)), list(range(1000, 1201)), list(range(2000, 2200))]
+    assert all(int.from_bytes(k, "big") in v for k, v in groups.items())
+    assert not collected(graph.components(df.where("false")))
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs_schema):
     rng = random.Random(8)
     rows = []
