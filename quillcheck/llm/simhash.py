@@ -213,10 +213,10 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, words: i
     return rows.join(groups, rows.fp == groups.of).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For texts with a Jaccard similarity of 0.8 of their five-word shingles: eight fingerprints side by side. Such texts share
-#: 0.89 of their shingles' weight, so a bit differs with probability arccos(0.89) / pi = 0.15; of 512 bits that is 77, with a
-#: deviation of 8. Two texts meet if two neighbouring bytes are equal, with probability 0.98 or more.
-WIDE = {"shingle": 5, "words": 8, "radius": 88, "bands": [(i, 2) for i in range(1, 64)]}
+#: For texts with a Jaccard similarity of 0.8 of their five-word shingles: seven fingerprints side by side. Such texts share
+#: 0.89 of their shingles' weight, so a bit differs with probability arccos(0.89) / pi = 0.15; of 448 bits that is 67, with a
+#: deviation of 8. Two texts meet if two neighbouring bytes are equal, with probability 0.97 or more.
+WIDE = {"shingle": 5, "words": 7, "radius": 77, "bands": [(i, 2) for i in range(1, 56)]}
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
