@@ -46,8 +46,8 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, "doc_id long, digest binary, chars long")
 
 
-def shard_count(n: int) -> int:
-    shards = 16
+def shard_count(n: int, shards: int = 16) -> int:
+    """Shards for ``n`` keys, ``shards`` at least."""
     while shards * SHARD_KEYS < n and shards < 65536:
         shards *= 2
     return shards

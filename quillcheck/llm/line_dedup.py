@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stage
 from .cuckoo import CuckooFilter
+from .exact_dedup import shard_count
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Shards at least.
 SHARDS = 64
 #: Up to so many dropped keys (16 bytes each, and 2.5 to 5 in the filters) are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
-INDEX = "shard int, key binary, refs long, filter binary"
+CELLS = "shard int, filter binary"
 
 
 def _hashes(text: bytes | None, min_chars: int) -> list[bytes | None]:
@@ -63,13 +65,15 @@ def line_counts(docs: DataFrame, min_chars: int = 1, most: int = 100_000) -> Dat
 
 
 class LineIndex:
-    """Reference counts and filters, as a DataFrame of shards (columns: ``INDEX``).
+    """Reference counts (``refs``: key, refs) and the shards' filters (``cells``: shard, filter).
 
-    A shard's rows are its keys, and one row with a null key that holds its filter.
+    Counts are summed and kept by Spark. A task that changes a filter gets that and the shard's keys with
+    ``min_docs`` or more, now or before, from which a filter that overflows is built anew. Without ``shards`` their number
+    is chosen by the first insertion, so that a shard has about ``SHARD_KEYS`` such keys at most.
     """
 
-    def __init__(self, rows: DataFrame | None = None, min_docs: int = 10, min_chars: int = 1, shards: int = SHARDS):
-        self.rows, self.min_docs, self.min_chars, self.shards = rows, min_docs, min_chars, shards
+    def __init__(self, refs: DataFrame | None = None, cells: DataFrame | None = None, min_docs: int = 10, min_chars: int = 1, shards: int | None = None):
+        self.refs, self.cells, self.min_docs, self.min_chars, self.shards = refs, cells, min_docs, min_chars, shards
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the lines of ``docs`` counted in."""
@@ -80,36 +84,37 @@ class LineIndex:
         return self._changed(docs, -1)
 
     def _changed(self, docs: DataFrame, sign: int) -> LineIndex:
-        shard = F.conv(F.hex(F.substring("key", 15, 2)), 16, 10).cast("int") % F.lit(self.shards)
-        batch = line_counts(docs, self.min_chars).select(shard.alias("shard"), "key", (F.col("n") * sign).alias("refs"), F.lit(None).cast("binary").alias("filter"), F.lit(True).alias("new"))
-        if self.rows is not None:
-            batch = batch.unionByName(self.rows.withColumn("new", F.lit(False)))
+        none = F.lit(0).cast("long")
+        counts = line_counts(docs, self.min_chars).select("key", (F.col("n") * sign).alias("change"), none.alias("was"))
+        if self.refs is not None:
+            counts = counts.unionByName(self.refs.select("key", none.alias("change"), F.col("refs").alias("was")))
+        sums = counts.groupBy("key").agg((F.sum("change") + F.sum("was")).alias("refs"), F.sum("was").alias("was"))
+        sums = stage(sums.where("refs > 0 or was > 0"), "line-counts")
         least = self.min_docs
+        known = sums.where((F.col("refs") >= least) | (F.col("was") >= least))
+        shards = self.shards or shard_count(known.count(), SHARDS)
+        shard = F.conv(F.hex(F.substring("key", 15, 2)), 16, 10).cast("int") % F.lit(shards)
+        rows = known.select(shard.alias("shard"), "key", (F.col("was") >= least).alias("was_in"), (F.col("refs") >= least).alias("is_in"), F.lit(None).cast("binary").alias("filter"))
+        if self.cells is not None:
+            rows = rows.unionByName(self.cells.select("shard", "filter"), allowMissingColumns=True)
 
         def apply(group: pd.DataFrame) -> pd.DataFrame:
-            number = int(group["shard"].iloc[0])
-            is_filter = group["key"].isna()
-            old = group[~is_filter & ~group["new"]].set_index("key")["refs"]
-            now = group[~is_filter].groupby("key", sort=False)["refs"].sum()
-            now = now[now > 0]
-            before, after = set(old.index[old >= least]), set(now.index[now >= least])
-            cells = group.loc[is_filter, "filter"]
-            cuckoo = CuckooFilter(len(cells.iloc[0]) // 8, cells.iloc[0]) if len(cells) else CuckooFilter.of(before)
-            for key in before - after:
+            is_key = group["key"].notna()
+            keys = group[is_key]
+            was, now = keys["was_in"].astype(bool), keys["is_in"].astype(bool)
+            cells = group.loc[~is_key, "filter"]
+            cuckoo = CuckooFilter(len(cells.iloc[0]) // 8, cells.iloc[0]) if len(cells) else CuckooFilter.of(keys.loc[was, "key"])
+            for key in keys.loc[was & ~now, "key"]:
                 cuckoo.delete(key)
-            if not all([cuckoo.insert(key) for key in sorted(after - before)]):
-                cuckoo = CuckooFilter.of(after, cuckoo.buckets * 4)
-            out = pd.DataFrame({"shard": number, "key": now.index, "refs": now.to_numpy(), "filter": None})
-            last = pd.DataFrame({"shard": [number], "key": [None], "refs": [len(after)], "filter": [cuckoo.tobytes()]})
-            return pd.concat([out, last]) if len(out) else last
+            if not all([cuckoo.insert(key) for key in sorted(keys.loc[now & ~was, "key"])]):
+                cuckoo = CuckooFilter.of(keys.loc[now, "key"], cuckoo.buckets * 4)
+            return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "filter": [cuckoo.tobytes()]})
 
-        return LineIndex(stage(batch.groupBy("shard").applyInPandas(apply, INDEX), "line-index"), least, self.min_chars, self.shards)
+        cells = stage(rows.groupBy("shard").applyInPandas(apply, CELLS), "line-filters")
+        return LineIndex(sums.where("refs > 0").select("key", "refs"), cells, least, self.min_chars, shards)
 
     def dropped(self) -> DataFrame:
-        return self.rows.where(F.col("key").isNotNull() & (F.col("refs") >= self.min_docs)).select("key")
-
-    def filters(self) -> DataFrame:
-        return self.rows.where("key is null").select("shard", "filter")
+        return self.refs.where(F.col("refs") >= self.min_docs).select("key")
 
 
 class _Probe:
@@ -153,7 +158,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, most_broadcast: int = BROADCAS
     dropped = stage(index.dropped(), "dropped-keys")
     if dropped.count() <= most_broadcast:
         exact = frozenset(bytes(r.key) for r in dropped.collect())
-        cells = {r.shard: bytes(r.filter) for r in index.filters().collect()}
+        cells = {r.shard: bytes(r.filter) for r in index.cells.collect()}
         held = spark.sparkContext.broadcast((cells, exact))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,7 @@ def _with_results(batch: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) ->
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_broadcast: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` without the lines whose key is in ``min_docs`` documents or more; see ``drop_lines``."""
-    return drop_lines(docs, LineIndex(None, min_docs, min_chars).insert(docs), most_broadcast)
+    return drop_lines(docs, LineIndex(min_docs=min_docs, min_chars=min_chars).insert(docs), most_broadcast)
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
