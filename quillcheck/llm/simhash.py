@@ -220,7 +220,10 @@ WIDE = {"shingle": 5, "words": 7, "radius": 77, "bands": [(i, 2) for i in range(
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest doc_id."""
+    """``docs`` with one document of each group of near copies, that with the smallest doc_id.
+
+    Of rows that repeat the doc_id that stays, one stays; rows with a null doc_id can't be told apart and all stay.
+    """
     found = near_components(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), "component_id")
     found = stage(found, "near-groups")
     # Written out, so that Spark knows its size when it chooses between a broadcast and a shuffle of the texts.
