@@ -9,7 +9,6 @@ from ..functions import textexpr as X
 from ..functions import udfs as U
 
 
-
 def check_claims(claims: DataFrame, evidence: DataFrame, min_overlap: float = 0.5, max_age_days: int | None = None, now: str | None = None) -> DataFrame:
     """One verdict per claim row, by position. Null texts count as empty; a page that is not there cuts.
 
