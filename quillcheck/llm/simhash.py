@@ -10,6 +10,8 @@ small at any size. A tree goes to its probes by a shuffle and not by a broadcast
 input. A shard sends the links of a spanning forest, one per fingerprint at most, never all pairs;
 a very full shard is dealt to pairs of blocks of fingerprints, each a tree of its own.
 
+The pipeline's stage takes such links as candidates only, and compares the shingle sets before a document goes.
+
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; a text with
 fewer words than a shingle is one shingle; repeated rows come back as often as they are; an empty table
 gives an empty result; a component of null doc_ids only has a null component_id.
@@ -46,13 +48,18 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def simhash(text: bytes | None, shingle: int = 3, words: int = 1) -> bytes:
-    """The fingerprint, ``words`` times 64 bits, the most significant first."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """The hash of each run of ``shingle`` words, as often as it occurs."""
     w = (text or b"").lower().split()
-    if not w:
+    count = max(1, len(w) - shingle + 1) if w else 0
+    return np.fromiter((_HASH(b" ".join(w[i : i + shingle])) for i in range(count)), np.uint64, count)
+
+
+def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
+    """``words`` times 64 bits, the most significant first."""
+    count = len(hashes)
+    if not count:
         return bytes(8 * words)
-    count = max(1, len(w) - shingle + 1)
-    hashes = np.fromiter((_HASH(b" ".join(w[i : i + shingle])) for i in range(count)), np.uint64, count)
     sums = np.zeros(64 * words, np.int64)
     for at in range(0, count, 8192):
         part = hashes[at : at + 8192]
@@ -61,11 +68,16 @@ def simhash(text: bytes | None, shingle: int = 3, words: int = 1) -> bytes:
     return np.packbits(sums * 2 > count).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+def simhash(text: bytes | None, shingle: int = 3, words: int = 1) -> bytes:
+    """The fingerprint of a text."""
+    return fingerprint(shingles(text, shingle), words)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (binary) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [simhash(t.as_py(), shingle, words) for t in batch.column(1)]
+        found = [simhash(t.as_py(), shingle) for t in batch.column(1)]
         return pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -109,8 +121,11 @@ class BKTree:
         return found
 
 
-def forest(fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
-    """Links that join whatever is linked among these fingerprints, one less than each group has members."""
+def forest(fps: list[bytes], radius: int, size: int | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that join whatever is linked among these fingerprints, one less than each group has members.
+
+    ``size``: how many of the first bytes count for the distance; None for all.
+    """
     tree, root = BKTree(radius), list(range(len(fps)))
 
     def top(i: int) -> int:
@@ -120,7 +135,7 @@ def forest(fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
         return i
 
     for i, fp in enumerate(fps):
-        for j in tree.add(int.from_bytes(fp, "big")):
+        for j in tree.add(int.from_bytes(fp[:size], "big")):
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -133,8 +148,8 @@ def masked(mask: int) -> Column:
     return F.shiftleft(word(1).bitwiseAND(mask >> 32), 32).bitwiseOR(word(5).bitwiseAND(mask & 0xFFFFFFFF))
 
 
-def links(fps: DataFrame, radius: int, parts: list[Column], full: int = FULL) -> DataFrame:
-    """Links (a, b) among distinct fingerprints that agree in one of ``parts`` of their bits."""
+def links(fps: DataFrame, radius: int, parts: list[Column], full: int = FULL, *, size: int | None = None) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that agree in one of ``parts``; ``size`` as in ``forest``."""
     values = F.array(*parts)
     rows = fps.select("fp", F.posexplode(values).alias("band", "value"))
     sizes = rows.groupBy("band", "value").count().where(F.col("count") > full)
@@ -158,11 +173,11 @@ def links(fps: DataFrame, radius: int, parts: list[Column], full: int = FULL) ->
                     held.append(f)
                     continue
                 if len(held) > 1:
-                    out += forest(held, radius)
+                    out += forest(held, radius, size)
                 key, held = k, [f]
             if out:
                 yield _links(out)
-        if len(held) > 1 and (out := forest(held, radius)):
+        if len(held) > 1 and (out := forest(held, radius, size)):
             yield _links(out)
 
     dealt = rows.repartition("band", "value", "pair").sortWithinPartitions("band", "value", "pair", "fp")
@@ -188,14 +203,8 @@ def masks(radius: int, n: int, bits: int = 64, most: int = 64) -> list[int]:
     return chosen
 
 
-def near_groups(rows: DataFrame, radius: int, bands: list[tuple[int, int]] | None = None) -> DataFrame:
-    """fp, component_id of each distinct fingerprint of ``rows`` (doc_id, fp).
-
-    ``bands``: of wide fingerprints, (first byte from 1, bytes) of the parts that links must share one of.
-    """
-    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    parts = [F.conv(F.hex(F.substring("fp", at, n)), 16, 10).cast("long") for at, n in bands] if bands else [masked(m) for m in masks(radius, fps.count())]
-    edges = stage(links(fps.select("fp"), radius, parts), "links")
+def least_of(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fp, component_id (smallest ``least`` that edges reach) of each row of ``fps`` (fp, least)."""
     if edges.isEmpty():
         return fps.select("fp", F.col("least").alias("component_id"))
     named = components(edges)
@@ -206,17 +215,121 @@ def near_groups(rows: DataFrame, radius: int, bands: list[tuple[int, int]] | Non
     return stage(tagged.join(least, tagged.label == least.of).select("fp", "component_id"), "groups")
 
 
-def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, words: int = 1, bands: list[tuple[int, int]] | None = None) -> DataFrame:
+def near_groups(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    return least_of(fps, stage(links(fps.select("fp"), radius, [masked(m) for m in masks(radius, fps.count())]), "links"))
+
+
+def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (smallest doc_id that links reach) of every row."""
-    rows = stage(fingerprints(docs, shingle, words), "doc-fps")
-    groups = near_groups(rows, radius, bands).withColumnRenamed("fp", "of")
+    rows = stage(fingerprints(docs, shingle), "doc-fps")
+    groups = near_groups(rows, radius).withColumnRenamed("fp", "of")
     return rows.join(groups, rows.fp == groups.of).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: For texts with a Jaccard similarity of 0.8 of their five-word shingles: seven fingerprints side by side. Such texts share
-#: 0.89 of their shingles' weight, so a bit differs with probability arccos(0.89) / pi = 0.15; of 448 bits that is 67, with a
-#: deviation of 8. Two texts meet if two neighbouring bytes are equal, with probability 0.97 or more.
-WIDE = {"shingle": 5, "words": 7, "radius": 77, "bands": [(i, 2) for i in range(1, 56)]}
+#: Near copies share this much of their five-word shingles, as common and all: a Jaccard similarity of 0.8 or more.
+ALIKE = (4, 5)
+#: Candidates: eight fingerprints side by side, in which texts at 0.8 differ in 78 of 512 bits with a deviation of 8 (very short
+#: ones in up to 96), so that the radius holds them all but for one in 100,000 (of very short ones). They must share one of
+#: BANDS keys, each of ROWS minima of the shingles' hashes; at 0.8 that fails with probability (1 - 0.8 ** 4) ** 24 = 0.000003.
+WIDE = {"shingle": 5, "words": 8, "radius": 136}
+BANDS, ROWS = 24, 4
+#: A group of more candidates is dealt to pairs of blocks of about this many, as their texts are compared.
+BLOCK = 256
+_FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Of each band, a hash of the least hashes under ROWS orders; two sets share a key with probability Jaccard ** ROWS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 8192):
+        least = np.minimum(least, (hashes[at : at + 8192] * _FACTORS[:, None]).min(1))
+    return np.array([_HASH(x.tobytes()) for x in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64).tolist()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes are near copies."""
+    common, every = ALIKE
+    if min(len(a), len(b)) * every < max(len(a), len(b)) * common:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same * every >= (len(both) - same) * common
+
+
+def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, tie (a hash of the text), fp (wide fingerprint and the shingle set's digest) and band keys of every row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, keys = [], []
+        for t in batch.column(2):
+            hashes = shingles(t.as_py(), shingle)
+            own = np.unique(hashes)
+            fps.append(fingerprint(hashes, words) + xxhash.xxh3_128_digest(own.tobytes()))
+            keys.append(band_keys(own))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "fp", "keys"])
+
+    return map_batches(_tied(docs), run, "doc_id long, tie long, fp binary, keys array<long>")
+
+
+def _tied(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+
+
+def alike_links(texts: DataFrame, shingle: int, radius: int, size: int) -> DataFrame:
+    """Links (a, b) that join what is linked within each group of ``texts`` (label, blocks, fp, text), by the sets themselves."""
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("own")
+    rows = texts.select("label", "blocks", "fp", "text", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, root, held = None, BKTree(radius), [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for label, one, two, own, fp, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (label, one, two) != key:
+                    key, tree, root, held = (label, one, two), BKTree(radius), [], []
+                mine = np.unique(shingles(text, shingle))
+                near = tree.add(int.from_bytes(fp[:size], "big"))
+                root.append(len(held))
+                held.append((fp, own, mine))
+                for j in near:
+                    # Two of one block are compared where that block is alone.
+                    a, b = top(len(held) - 1), top(j)
+                    if a != b and (one == two or held[j][1] != own) and alike(mine, held[j][2]):
+                        root[max(a, b)] = min(a, b)
+                        out.append((fp, held[j][0]))
+            if out:
+                yield _links(out)
+
+    dealt = rows.repartition("label", "one", "two").sortWithinPartitions("label", "one", "two", "own", "fp")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def near_copies(docs: DataFrame, shingle: int, words: int, radius: int) -> DataFrame:
+    """doc_id, tie, fp and component_id (smallest doc_id that links of near copies reach) of every row."""
+    rows = stage(set_prints(docs, shingle, words), "doc-prints")
+    # Texts with the same shingles have the same fp, and one row stands for them.
+    sets = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("row"), F.first("keys").alias("keys")), "sets")
+    near = stage(links(sets.select("fp", "keys"), radius, [F.col("keys")[i] for i in range(BANDS)], size=8 * words), "near-links")
+    groups = components(near)
+    blocks = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).withColumnRenamed("label", "of")
+    some = stage(groups.join(blocks, groups.label == blocks.of).select("node", "label", "blocks"), "candidates")
+    some = some.join(sets, some.node == sets.fp).select("label", "blocks", "fp", F.col("row.doc_id").alias("id"), F.col("row.tie").alias("row_tie"))
+    some, texts = stage(some, "candidate-rows"), _tied(docs)
+    texts = texts.join(some, texts.doc_id.eqNullSafe(some.id) & (texts.tie == some.row_tie)).select("label", "blocks", "fp", "text").dropDuplicates(["fp"])
+    edges = stage(alike_links(texts, shingle, radius, 8 * words), "links")
+    named = least_of(sets.select("fp", "least"), edges).withColumnRenamed("fp", "of")
+    return rows.join(named, rows.fp == named.of).select("doc_id", "tie", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -224,7 +337,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat the doc_id that stays, one stays; rows with a null doc_id can't be told apart and all stay.
     """
-    found = near_components(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), "component_id")
+    found = near_copies(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), "component_id")
     found = stage(found, "near-groups")
     # Written out, so that Spark knows its size when it chooses between a broadcast and a shuffle of the texts.
     gone = stage(found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct(), "gone")
