@@ -265,9 +265,9 @@ def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, keys = [], []
         for t in batch.column(2):
-            hashes = shingles(t.as_py(), shingle)
-            own = np.unique(hashes)
-            fps.append(fingerprint(hashes, words) + xxhash.xxh3_128_digest(own.tobytes()))
+            # Each shingle once, as the sets have it; a shingle that repeats would outweigh the others.
+            own = np.unique(shingles(t.as_py(), shingle))
+            fps.append(fingerprint(own, words) + xxhash.xxh3_128_digest(own.tobytes()))
             keys.append(band_keys(own))
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "tie", "fp", "keys"])
 

@@ -62,3 +62,15 @@ def test_both_sides_of_the_similarity(spark, docs_schema, block, monkeypatch):
 def test_given_documents_are_kept_as_brute_force_does(spark, docs_schema):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert left(spark, docs_schema, rows) == kept(rows)
+
+
+def test_a_repeated_shingle_counts_once(spark, docs_schema):
+    rng, rows = random.Random(10), []
+    for i in range(20):
+        # Two that share a run of one word only, and two copies of which one has such a run.
+        rows += [(10 * i + k, " ".join(fresh(rng, 300) + ["0"] * 70)) for k in range(2)]
+        w = fresh(rng, 300)
+        rows += [(10 * i + 2, " ".join(w)), (10 * i + 3, " ".join(w + ["0"] * 200))]
+    want = kept(rows)
+    assert want == [10 * i + k for i in range(20) for k in range(3)]
+    assert left(spark, docs_schema, rows) == want
