@@ -204,7 +204,7 @@ def masks(radius: int, n: int, bits: int = 64, most: int = 64) -> list[int]:
 
 
 def least_of(fps: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp, component_id (smallest ``least`` that edges reach) of each row of ``fps`` (fp, least)."""
+    """fp, component_id (the smallest ``least`` that edges reach) of each row of ``fps`` (fp, least)."""
     if edges.isEmpty():
         return fps.select("fp", F.col("least").alias("component_id"))
     named = components(edges)
@@ -316,34 +316,38 @@ def alike_links(texts: DataFrame, shingle: int, radius: int, size: int) -> DataF
 
 
 def near_copies(docs: DataFrame, shingle: int, words: int, radius: int) -> DataFrame:
-    """doc_id, tie, fp and component_id (smallest doc_id that links of near copies reach) of every row."""
+    """doc_id, tie and least (none, doc_id, tie: the first row that links of near copies reach, null doc_ids last) of every row."""
     rows = stage(set_prints(docs, shingle, words), "doc-prints")
     # Texts with the same shingles have the same fp, and one row stands for them.
-    sets = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tie")).alias("row"), F.first("keys").alias("keys")), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    sets = stage(rows.groupBy("fp").agg(F.min(row).alias("least"), F.first("keys").alias("keys")), "sets")
     near = stage(links(sets.select("fp", "keys"), radius, [F.col("keys")[i] for i in range(BANDS)], size=8 * words), "near-links")
     groups = components(near)
     blocks = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).withColumnRenamed("label", "of")
     some = stage(groups.join(blocks, groups.label == blocks.of).select("node", "label", "blocks"), "candidates")
-    some = some.join(sets, some.node == sets.fp).select("label", "blocks", "fp", F.col("row.doc_id").alias("id"), F.col("row.tie").alias("row_tie"))
+    some = some.join(sets, some.node == sets.fp).select("label", "blocks", "fp", F.col("least.doc_id").alias("id"), F.col("least.tie").alias("row_tie"))
     some, texts = stage(some, "candidate-rows"), _tied(docs)
     texts = texts.join(some, texts.doc_id.eqNullSafe(some.id) & (texts.tie == some.row_tie)).select("label", "blocks", "fp", "text").dropDuplicates(["fp"])
     edges = stage(alike_links(texts, shingle, radius, 8 * words), "links")
     named = least_of(sets.select("fp", "least"), edges).withColumnRenamed("fp", "of")
-    return rows.join(named, rows.fp == named.of).select("doc_id", "tie", "fp", "component_id")
+    return rows.join(named, rows.fp == named.of).select("doc_id", "tie", F.col("component_id").alias("least"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies, that with the smallest doc_id.
+    """``docs`` with one document of each group of near copies, that with the smallest doc_id (null last, ties by the text's hash).
 
-    Of rows that repeat the doc_id that stays, one stays; rows with a null doc_id can't be told apart and all stay.
+    Rows are told apart by doc_id and text; of rows that have both in common and stay, one stays.
     """
-    found = near_copies(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), "component_id")
+    found = near_copies(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__of"), "least")
     found = stage(found, "near-groups")
+    first = F.col("__id").eqNullSafe(F.col("least.doc_id")) & (F.col("__of") == F.col("least.tie"))
     # Written out, so that Spark knows its size when it chooses between a broadcast and a shuffle of the texts.
-    gone = stage(found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct(), "gone")
-    stay = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    twice = stage(found.where(F.col("__id").eqNullSafe(F.col("component_id"))).groupBy("__id").count().where("count > 1").select("__id"), "repeated")
+    gone = stage(found.where(~first).select("__id", "__of").distinct(), "gone")
+    rows = docs.withColumn("__tie", F.xxhash64("text"))
+    same = lambda other: rows["doc_id"].eqNullSafe(other["__id"]) & (rows["__tie"] == other["__of"])
+    stay = rows.join(gone, same(gone), "left_anti")
+    twice = stage(found.where(first).groupBy("__id", "__of").count().where("count > 1").select("__id", "__of"), "repeated")
     if twice.isEmpty():
-        return stay
-    same = docs["doc_id"].eqNullSafe(twice["__id"])
-    return stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+        return stay.drop("__tie")
+    one = stay.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__tie"])
+    return stay.join(twice, same(twice), "left_anti").unionByName(one).drop("__tie")

@@ -74,3 +74,14 @@ def test_a_repeated_shingle_counts_once(spark, docs_schema):
     want = kept(rows)
     assert want == [10 * i + k for i in range(20) for k in range(3)]
     assert left(spark, docs_schema, rows) == want
+
+
+def test_rows_go_by_id_and_text(spark, docs_schema):
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(fresh(rng, 100)) for _ in range(5))
+    # 5 stands on a copy and on a text of its own, 6 on two such texts; one of two copies without an id is a copy of 1 as well.
+    rows = [(1, a), (5, a + " more"), (5, b), (6, c), (6, d), (6, d), (None, a + " other"), (None, e), (None, e + " last")]
+    got = simhash.near_dedup(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], docs_schema)).collect()
+    last = {r.text for r in got if r.doc_id is None}
+    assert len(got) == 5 and len(last) == 1 and last <= {e, e + " last"}
+    assert {(r.doc_id, r.text) for r in got if r.doc_id is not None} == {(1, a), (5, b), (6, c), (6, d)}
