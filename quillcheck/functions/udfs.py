@@ -23,6 +23,8 @@ def _of(fn, kind: str, once: bool = False):
 norm = _of(lambda s: P.norm(s or ""), "string")
 norm_lines = _of(lambda s: P.norm_lines(s or ""), "string")
 figures = _of(lambda s: P.figures(s or ""), _FIGURES)
+words = _of(lambda s: P.words(s or ""), "array<string>")
+quote_run = _of(lambda q: P.quote_run(q or ""), "array<string>")
 passage = _of(lambda q, s: P.passage(q or "", s or ""), "string")
 context = _of(lambda q, s: P.context(q or "", s or ""), "struct<before:string,between:string,after:string>")
 html_text = _of(lambda s: P.html_text(s or ""), "struct<title:string,text:string>")

@@ -95,14 +95,17 @@ _LOCATED = """WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+'
 
 @query(_LOCATED)
 def quote_on_page(spark, sf_dir):
-    """Which documents carry a benchmark passage: five-word runs find candidates, the quote test decides."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    runs = lambda ws: X.let(ws, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, 5), " "))))
+    """Which documents carry a benchmark passage: runs of five words, or of all words of a shorter part, find candidates, the quote test decides."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    # The passage's first inner run of words is enough to find its page; each document's runs are matched against those alone.
-    probe = items.withColumn("w", words(F.col("quote"))).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("run"))
+    probe = items.withColumn("w", U.quote_run("quote")).where(F.col("w").isNotNull())
+    probe = probe.select("item_id", "quote", F.size("w").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("run"))
+    # Each document's runs are matched against those of the passages alone; six lengths at most come to the driver, of which 0 is for no words.
+    sizes = sorted(r.n for r in probe.select("n").distinct().collect())
+    run = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+    runs = lambda w, n: F.when(F.size(w) >= n, run(w, n)).otherwise(F.array().cast("array<bigint>")) if n else F.array(F.xxhash64(F.lit("")))
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    found = docs.select("doc_id", F.explode(F.array_distinct(runs(words(F.col("text"))))).alias("run")).join(probe, "run").select("doc_id", "item_id", "quote").distinct()
+    every = X.let(U.words("text"), lambda w: F.array_distinct(F.concat(F.array().cast("array<bigint>"), *(runs(w, n) for n in sizes))))
+    found = docs.select("doc_id", F.explode(every).alias("run")).join(probe, "run").select("doc_id", "item_id", "quote").distinct()
     return found.join(docs, "doc_id").where(U.passage("quote", "text").isNotNull()).select("item_id", "doc_id")
 
 
