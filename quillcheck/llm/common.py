@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -54,6 +54,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions to deal ``df`` to: the session's number, and more if by Spark's estimate of its size they would be large."""
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Without statistics Spark says the largest of numbers, which is no size.
+    return max(1, session, min(size // bytes_each, 1_000_000) if size < 1 << 60 else 1)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has that name in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def storage(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow filesystem and the path in it of a folder's URI."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")

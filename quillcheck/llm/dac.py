@@ -7,10 +7,12 @@ its bit, so any id is found without decoding the ids before it.
 
 File: magic, number of levels, then per level the number of chunks, the chunks, the bitmap
 and its directory. A table beside the files has, for every document, its file, its place there and its
-place among the ids of all documents in ascending order of doc_id (null first, ties by text).
+place among the ids of all documents in ascending order of doc_id (null first, ties by the text's hash).
+A reader takes byte ranges: neighbouring documents in one, and nothing of the documents between that aren't asked for.
 
 Defined results: a null or empty text is the end id alone; an empty table gives no files and an
-empty result; a document longer than a file's usual size has a file of its own.
+empty result; a document longer than a file's usual size ends its file; rows that repeat are documents of
+their own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,20 +20,23 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import shared_path, stage, storage
+from .common import partitions, shared_path, stage, storage
 from .tokens import coder, default_path
 
 MAGIC, BLOCK = b"QDAC1\0\0\0", 512
 #: Ids to a file, about: what a task holds at a time.
-FILE_IDS = 2_000_000
-_INDEX = "part int, file string, seq long, doc_id long, at long, n_tokens long"
+FILE_IDS = 8_000_000
+#: Ids between two documents that are read along, and ids that are read at once, about.
+GAP_IDS, READ_IDS = 16_384, 1_000_000
+_INDEX = "part int, file string, doc_id long, at long, n_tokens long, before long"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -51,36 +56,35 @@ def encode(ids: np.ndarray) -> bytes:
 
 
 class Codes:
-    """Reads a file's bytes; ``codes[a:b]`` and ``codes[i]`` touch only what they need."""
+    """``codes[a:b]`` and ``codes[i]`` of a file, which is its bytes or a function that reads (how many, from where).
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    Only the chunks, bits and directory entries that an answer needs are read.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self.read = data if callable(data) else lambda n, at: data[at : at + n]
+        head = self.read(16, 0)
+        if head[:8] != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.levels = []
-        at = 16
-        for _ in range(struct.unpack_from("<Q", data, 8)[0]):
-            (n,) = struct.unpack_from("<Q", data, at)
-            at += 8
+        self.levels, at = [], 16
+        for _ in range(struct.unpack_from("<Q", head, 8)[0]):
+            (n,) = struct.unpack("<Q", self.read(8, at))
             blocks = -(-n // BLOCK)
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + n)
-            ranks = np.frombuffer(data, "<u8", blocks, at + n + len(bits))
-            self.levels.append((chunks, bits, ranks))
-            at += n + len(bits) + 8 * blocks
+            self.levels.append((n, at + 8, at + 8 + n, at + 8 + n + blocks * BLOCK // 8))
+            at += 8 + n + blocks * (BLOCK // 8 + 8)
 
     def __len__(self) -> int:
-        return len(self.levels[0][0])
+        return self.levels[0][0]
 
     def _rank(self, level: int, i: int) -> int:
-        """Set bits before place ``i``."""
-        _, bits, ranks = self.levels[level]
-        block = i // BLOCK
-        if block >= len(ranks):
-            block = len(ranks) - 1
-        if block < 0:
+        """Set bits before place ``i``: the directory's entry, and the bits since."""
+        n, _, bits, ranks = self.levels[level]
+        if not n:
             return 0
-        part = np.unpackbits(bits[block * BLOCK // 8 : -(-i // 8)], bitorder="little")
-        return int(ranks[block]) + int(part[: i - block * BLOCK].sum())
+        block = min(i, n - 1) // BLOCK
+        (before,) = struct.unpack("<Q", self.read(8, ranks + 8 * block))
+        since = np.frombuffer(self.read(-(-i // 8) - block * BLOCK // 8, bits + block * BLOCK // 8), np.uint8)
+        return before + int(np.unpackbits(since, bitorder="little")[: i - block * BLOCK].sum())
 
     def __getitem__(self, key: int | slice) -> np.ndarray:
         a, b, _ = key.indices(len(self)) if isinstance(key, slice) else (key, key + 1, 1)
@@ -88,17 +92,20 @@ class Codes:
             raise IndexError(key)
         out = np.zeros(max(0, b - a), np.uint32)
         where = np.arange(len(out))
-        for k, (chunks, bits, _) in enumerate(self.levels):
+        for k, (_, chunks, bits, _) in enumerate(self.levels):
             if a >= b:
                 break
-            out[where] |= chunks[a:b].astype(np.uint32) << (8 * k)
-            more = np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            where = where[more]
-            a, b = self._rank(k, a), self._rank(k, a) + len(where)
+            out[where] |= np.frombuffer(self.read(b - a, chunks + a), np.uint8).astype(np.uint32) << (8 * k)
+            own = np.frombuffer(self.read(-(-b // 8) - a // 8, bits + a // 8), np.uint8)
+            where = where[np.unpackbits(own, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)]
+            if not len(where):
+                break
+            a = self._rank(k, a)
+            b = a + len(where)
         return out
 
 
-def write(docs: DataFrame, end_id: int = 2, path: str | None = None, partitions: int | None = None, folder: str | None = None, file_ids: int = FILE_IDS) -> tuple[DataFrame, str]:
+def write(docs: DataFrame, end_id: int = 2, path: str | None = None, parts: int | None = None, folder: str | None = None, file_ids: int = FILE_IDS) -> tuple[DataFrame, str]:
     """Write the files; the table of documents (columns of ``_INDEX`` and ``start``), and the folder."""
     spark, path = docs.sparkSession, path or default_path()
     folder = folder or shared_path(spark, "dac")
@@ -108,12 +115,12 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, partitions:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code = TaskContext.get().partitionId(), coder(path).encode
+        part, encoder = TaskContext.get().partitionId(), coder(path)
         fs, root = storage(folder)
         end = np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
-        docs_: list[tuple[int | None, int, int]] = []
-        at = seq = 0
+        docs_: list[tuple[int | None, int, int, int]] = []
+        at = before = 0
 
         def out() -> pa.RecordBatch:
             # Every attempt of a task has file names of its own, and the table names those of the one that counts.
@@ -121,16 +128,16 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, partitions:
             with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(encode(np.frombuffer(b"".join(held), "<u4")))
             n = len(docs_)
-            cols = [pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(range(seq - n, seq), pa.int64()), *(pa.array([d[i] for d in docs_], pa.int64()) for i in range(3))]
-            return pa.record_batch(cols, ["part", "file", "seq", "doc_id", "at", "n_tokens"])
+            cols = [pa.array([part] * n, pa.int32()), pa.array([name] * n), *(pa.array([d[i] for d in docs_], pa.int64()) for i in range(4))]
+            return pa.record_batch(cols, ["part", "file", "doc_id", "at", "n_tokens", "before"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code(text.as_py()) + end
-                held.append(ids)
-                docs_.append((doc, at, len(ids) // 4))
-                at += len(ids) // 4
-                seq += 1
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                n = len(ids) // 4 + 1
+                held += (ids, end)
+                docs_.append((doc, at, n, before))
+                at += n
+                before += n
                 if at >= file_ids:
                     yield out()
                     held, docs_, at = [], [], 0
@@ -138,49 +145,58 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, partitions:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
+    order = F.col("doc_id").asc_nulls_first(), F.col("tie")
+    dealt = rows.repartitionByRange(parts or partitions(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     index = stage(dealt.mapInArrow(run, _INDEX), "dac-index")
-    # One row per partition and one per file come to the driver: where each part begins.
-    files = index.groupBy("part", "file").agg(F.min("seq").alias("first"), F.sum("n_tokens").alias("n")).orderBy("part", "first").collect()
-    start, starts = 0, []
-    for r in files:
-        starts.append((r.file, start))
-        start += r.n
-    table = spark.createDataFrame(starts, "file string, file_start long")
-    return index.join(F.broadcast(table) if len(starts) <= 100_000 else table, "file").withColumn("start", F.col("file_start") + F.col("at")).drop("file_start"), folder
-
-
-def read(index: DataFrame, folder: str, crc_only: bool = False, batch_ids: int = 1_000_000) -> DataFrame:
+    # One row for each partition says how many ids stand in the partitions before it.
+    sums = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = stage(sums.select(F.col("part").alias("of"), first.alias("first")), "dac-parts")
+    return index.join(firsts, index["part"] == firsts["of"]).withColumn("start", F.col("first") + F.col("before")).drop("of", "first"), folder
+
+
+def runs(spans: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int, int, int]]:
+    """Sorted (place, length) spans as reads (first, end, how many of the spans): near ones together, up to about ``most``."""
+    out: list[list[int]] = []
+    for at, n in spans:
+        if out and at - out[-1][1] <= gap and at + n - out[-1][0] <= most:
+            out[-1][1] = max(out[-1][1], at + n)
+            out[-1][2] += 1
+        else:
+            out.append([at, at + n, 1])
+    return [(a, b, c) for a, b, c in out]
+
+
+def read(index: DataFrame, folder: str, crc_only: bool = False, gap: int = GAP_IDS, batch_ids: int = READ_IDS) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of the index's documents, from the files.
 
     With ``crc_only``, the ids' checksum (ids_crc32 long) stands for the ids.
     """
     last = "ids_crc32" if crc_only else "ids"
+    kind = pa.int64() if crc_only else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = storage(folder)
-        name, codes = None, None
+        name, f, codes = None, None, None
         for batch in batches:
-            found, done, size = [], 0, 0
-
-            def out(n: int) -> pa.RecordBatch:
-                own = batch.slice(done, n)  # noqa: B023  called before the loop goes on
-                cols = [own.column(c) for c in ("doc_id", "start", "n_tokens")]
-                return pa.record_batch([*cols, pa.array(found, pa.int64() if crc_only else pa.binary())], ["doc_id", "start", "n_tokens", last])  # noqa: B023
-
-            for file, at, n in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "n_tokens")), strict=True):
-                if file != name:
-                    with fs.open_input_file(f"{root}/{file}") as f:
-                        name, codes = file, Codes(f.read())
-                ids = codes[at : at + n].astype("<u4").tobytes()
-                found.append(zlib.crc32(ids) if crc_only else ids)
-                size += n
-                if size > batch_ids and not crc_only:
-                    yield out(len(found))
-                    done, found, size = done + len(found), [], 0
-            if found:
-                yield out(len(found))
+            files, ats, sizes = (batch.column(c).to_pylist() for c in ("file", "at", "n_tokens"))
+            done = 0
+            while done < len(files):
+                end = next((k for k in range(done, len(files)) if files[k] != files[done]), len(files))
+                if files[done] != name:
+                    if f is not None:
+                        f.close()
+                    name, f = files[done], fs.open_input_file(f"{root}/{files[done]}")
+                    codes = Codes(f.read_at)
+                for a, b, count in runs(list(zip(ats[done:end], sizes[done:end], strict=True)), gap, batch_ids):
+                    ids = codes[a:b].astype("<u4")
+                    found = [ids[at - a : at - a + n].tobytes() for at, n in zip(ats[done : done + count], sizes[done : done + count], strict=True)]
+                    own = batch.slice(done, count)
+                    cols = [own.column(c) for c in ("doc_id", "start", "n_tokens")]
+                    yield pa.record_batch([*cols, pa.array([zlib.crc32(x) for x in found] if crc_only else found, kind)], ["doc_id", "start", "n_tokens", last])
+                    done += count
+        if f is not None:
+            f.close()
 
     rows = index.select("file", "at", "doc_id", "start", "n_tokens")
     dealt = rows.repartition("file").sortWithinPartitions("file", "at")

@@ -43,11 +43,11 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, turn = coder(path).encode, np.array([end_id], "<u4").tobytes(), 0
+        encoder, end, turn = coder(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             cols: list[list[int | None]] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(t.as_py() for t in batch.column(1)), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     turn += 1

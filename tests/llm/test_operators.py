@@ -502,3 +502,30 @@ def test_mixing_inverts_the_poisson_distribution(spark, docs):
 
 def test_mixing_nothing(empty):
     assert not collected(mixing.mix(empty))
+
+
+def test_codes_read_only_what_an_answer_needs():
+    """A slice and a single id of a large file touch a small part of its bytes."""
+    values = np.random.default_rng(3).integers(0, 49_000, 200_000).astype(np.uint32)
+    data, read = dac.encode(values), []
+
+    def at(n, place):
+        read.append(n)
+        return data[place : place + n]
+
+    codes = dac.Codes(at)
+    assert codes[123_456].tolist() == [values[123_456]] and codes[150_000:150_300].tolist() == values[150_000:150_300].tolist()
+    assert sum(read) < 3000 < len(data)
+
+
+def test_word_coder_leaves_other_vocabularies_to_the_library(tmp_path):
+    """A file with another pattern is not cut into words."""
+    import json
+
+    own = json.loads(open(tokens.default_path(), encoding="utf-8").read())
+    own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    (tmp_path / "other.json").write_text(json.dumps(own), encoding="utf-8")
+    other = tokens.WordCoder(str(tmp_path / "other.json"))
+    assert tokens.coder(tokens.default_path()).by_word and not other.by_word
+    for text in ("don't stop, 12 times", "Straße ß 2.5!!"):
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
