@@ -1,44 +1,53 @@
 """Line dedup that can be undone: cuckoo filters over exact reference counts (operator 6).
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; it is known by its
-128-bit XXH3 hash. The reference-count table holds, for every key, in how many documents it
+128-bit BLAKE2b hash. The reference-count table holds, for every key, in how many documents it
 is. The filter of a shard holds the keys with ``min_docs`` or more. Adding documents can move keys into
 a filter, removing documents can take keys out of it again; then their lines are kept again.
 
+Lines are dropped by one way at every size. Each text sends the keys of its lines to their shards, where the
+filter is asked first and its hits are checked against the shard's exact keys; what is hit goes back to its text by a
+join. A shard that many lines go to is dealt to several tasks, each with the shard's filter and keys.
+
 Defined results: a null or empty text is one empty line; an empty key is never dropped;
-a document that loses all lines becomes an empty text; a repeated row is a document of its own;
-an empty table gives an empty result; other columns are passed through or ignored.
+a document that loses all lines becomes an empty text; a repeated row is a document of its own; a text of any
+length is split whole; there are no ties; an empty table gives an empty result; other columns are passed through, but for those with
+the names of the three new ones, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage
+from .common import map_batches, stage, unused
 from .cuckoo import CuckooFilter
 from .exact_dedup import shard_count
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Shards at least.
 SHARDS = 64
-#: Up to so many dropped keys (16 bytes each, and 2.5 to 5 in the filters) are broadcast; more are joined.
-BROADCAST_KEYS = 1_000_000
+#: Lines that go to one task of a shard, about.
+TASK_LINES = 2_000_000
 CELLS = "shard int, filter binary"
 
 
+def _hash(key: bytes) -> bytes:
+    return blake2b(key, digest_size=16).digest()
+
+
 def _hashes(text: bytes | None, min_chars: int) -> list[bytes | None]:
     """Of each line, its key's hash, or None if the key is too short to be dropped."""
     keys = [x.strip(SPACES).lower() for x in (text or b"").split(b"\n")]
     if min_chars <= 1:
-        return [xxhash.xxh3_128_digest(k) if k else None for k in keys]
-    return [xxhash.xxh3_128_digest(k) if len(k.decode("utf-8", "replace")) >= min_chars else None for k in keys]
+        return [_hash(k) if k else None for k in keys]
+    return [_hash(k) if len(k.decode("utf-8", "replace")) >= min_chars else None for k in keys]
 
 
 def line_counts(docs: DataFrame, min_chars: int = 1, most: int = 100_000) -> DataFrame:
@@ -64,6 +73,11 @@ def line_counts(docs: DataFrame, min_chars: int = 1, most: int = 100_000) -> Dat
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, n long")
 
 
+def _shard(shards: int):
+    """A key's shard, from its last four bytes; the filter reads its first ten."""
+    return (F.conv(F.hex(F.substring("key", 13, 4)), 16, 10).cast("long") % F.lit(shards)).cast("int")
+
+
 class LineIndex:
     """Reference counts (``refs``: key, refs) and the shards' filters (``cells``: shard, filter).
 
@@ -93,8 +107,7 @@ class LineIndex:
         least = self.min_docs
         known = sums.where((F.col("refs") >= least) | (F.col("was") >= least))
         shards = self.shards or shard_count(known.count(), SHARDS)
-        shard = F.conv(F.hex(F.substring("key", 15, 2)), 16, 10).cast("int") % F.lit(shards)
-        rows = known.select(shard.alias("shard"), "key", (F.col("was") >= least).alias("was_in"), (F.col("refs") >= least).alias("is_in"), F.lit(None).cast("binary").alias("filter"))
+        rows = known.select(_shard(shards).alias("shard"), "key", (F.col("was") >= least).alias("was_in"), (F.col("refs") >= least).alias("is_in"), F.lit(None).cast("binary").alias("filter"))
         if self.cells is not None:
             rows = rows.unionByName(self.cells.select("shard", "filter"), allowMissingColumns=True)
 
@@ -118,99 +131,106 @@ class LineIndex:
 
 
 class _Probe:
-    """Which line hashes are dropped: the shard's filter first, its hits against the exact keys."""
-
-    def __init__(self, filters: dict[int, bytes], exact: frozenset[bytes], shards: int):
-        self.filters = {s: CuckooFilter(len(c) // 8, c) for s, c in filters.items()}
-        self.exact, self.shards = exact, shards
-
-    def hits(self, hashes: list[bytes]) -> set[bytes]:
-        if not hashes:
-            return set()
-        words = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 16)
-        heads = words[:, :8].copy().view("<u8")[:, 0]
-        marks = words[:, 8:10].copy().view("<u2")[:, 0]
-        shard = words[:, 14:].copy().view(">u2")[:, 0] % self.shards
-        maybe = np.zeros(len(hashes), bool)
-        for s in np.unique(shard):
-            if (cuckoo := self.filters.get(int(s))) is not None:
-                at = shard == s
-                maybe[at] = cuckoo.probe(heads[at], marks[at])
-        return {h for h in map(hashes.__getitem__, np.flatnonzero(maybe)) if h in self.exact}
+    """A shard's filter and its exact keys, as they arrive; which keys are dropped."""
 
+    def __init__(self, cells: bytes):
+        self.filter, self.exact = CuckooFilter(len(cells) // 8, cells), set()
 
-def _kept(text: bytes | None, hashes: list[bytes | None], gone) -> tuple[int, int, bytes]:
-    lines = (text or b"").split(b"\n")
-    stay = [x for x, h in zip(lines, hashes, strict=True) if h is None or h not in gone]
-    return len(lines), len(lines) - len(stay), b"\n".join(stay)
+    def hits(self, keys: list[bytes]) -> list[int]:
+        """Places of the keys that are dropped: the filter first, its hits against the exact keys."""
+        words = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
+        maybe = self.filter.probe(words[:, :8].copy().view("<u8")[:, 0], words[:, 8:10].copy().view("<u2")[:, 0])
+        return [i for i in np.flatnonzero(maybe).tolist() if keys[i] in self.exact]
 
 
-def drop_lines(docs: DataFrame, index: LineIndex, most_broadcast: int = BROADCAST_KEYS) -> DataFrame:
-    """``docs`` with text, and with the new columns line_count, line_drops and kept_text (binary).
+#: What a task of a shard gets, in this order.
+_FILTER, _KEY, _LINE = range(3)
 
-    Up to ``most_broadcast`` dropped keys go to every executor; beyond, lines are joined with the keys.
-    """
-    spark = docs.sparkSession
-    out = "line_count long, line_drops long, kept_text binary"
-    base = docs.drop("line_count", "line_drops", "kept_text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+
+def dropped_of(texts: DataFrame, index: LineIndex, task_lines: int = TASK_LINES) -> DataFrame:
+    """of (a text's hash) and the keys among its lines that are dropped, for texts (column text, binary) that have some."""
     least, shards = index.min_chars, index.shards
-    dropped = stage(index.dropped(), "dropped-keys")
-    if dropped.count() <= most_broadcast:
-        exact = frozenset(bytes(r.key) for r in dropped.collect())
-        cells = {r.shard: bytes(r.filter) for r in index.cells.collect()}
-        held = spark.sparkContext.broadcast((cells, exact))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = _Probe(*held.value, shards)
-            for batch in batches:
-                texts = batch.column("__text").to_pylist()
-                hashes = [_hashes(t, least) for t in texts]
-                gone = probe.hits([h for row in hashes for h in row if h is not None])
-                yield _with_results(batch, [_kept(t, h, gone) for t, h in zip(texts, hashes, strict=True)])
-
-        return base.withColumn("__text", F.col("text").cast("binary")).mapInArrow(run, f"{fields}, {out}")
-
-    # Beyond: distinct (text, key) pairs meet the dropped keys by a join; the text's own digest names it.
-    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(xxhash.xxh3_128_digest(t or b""), h) for t in batch.column(0).to_pylist() for h in set(_hashes(t, least)) if h is not None]
+
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(of, k) for t in set(batch.column(0).to_pylist()) for of in [_hash(t or b"")] for k in set(_hashes(t, least)) if k is not None]
         return pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["of", "key"])
 
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [xxhash.xxh3_128_digest(t or b"") for t in batch.column("__text").to_pylist()]
-        return _replaced(batch, [pa.array(found, pa.binary())], ["__of"])
+    shard = _shard(shards).alias("shard")
+    # As many tasks to a shard as its lines ask for; most shards have one, and only the others are listed.
+    asked = index.refs.groupBy(shard).agg(F.sum("refs").alias("n")).where(F.col("n") > task_lines)
+    full = stage(asked.select(F.col("shard").alias("full"), F.ceil(F.col("n") / task_lines).cast("int").alias("tasks")), "full-shards")
+    tasks = F.coalesce("tasks", F.lit(1))
+    none = F.lit(None).cast("binary")
+    to_all = F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task")
+    kept = index.cells.select("shard", F.lit(_FILTER).alias("kind"), F.col("filter").alias("key")).unionByName(index.dropped().select(shard, F.lit(_KEY).alias("kind"), "key"))
+    kept = kept.join(full, kept["shard"] == full["full"], "left").select("shard", to_all, "kind", "key", none.alias("of"))
+    asks = map_batches(texts, lines, "of binary, key binary").select(shard, F.lit(_LINE).alias("kind"), "key", "of")
+    asks = asks.join(full, asks["shard"] == full["full"], "left").select("shard", F.pmod(F.xxhash64("of"), tasks).cast("int").alias("task"), "kind", "key", "of")
 
-    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("__text").to_pylist()
-        rows = [_kept(t, _hashes(t, least), frozenset(g or ())) for t, g in zip(texts, batch.column("__gone").to_pylist(), strict=True)]
-        return _with_results(batch, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe, place = None, None
+        for batch in batches:
+            n = batch.num_rows
+            shard, task, kind = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(task) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+                if a == b:
+                    continue
+                if (shard[a], task[a]) != place:
+                    place, probe = (shard[a], task[a]), None
+                keys = batch.column(3).slice(a, b - a).to_pylist()
+                if kind[a] == _FILTER:
+                    probe = _Probe(keys[0])
+                elif kind[a] == _KEY and probe is not None:
+                    probe.exact.update(keys)
+                elif probe is not None and (at := probe.hits(keys)):
+                    yield pa.record_batch([batch.column(4).slice(a, b - a).take(pa.array(at)), pa.array([keys[i] for i in at], pa.binary())], ["of", "key"])
+
+    rows = kept.unionByName(asks).repartition("shard", "task").sortWithinPartitions("shard", "task", "kind")
+    hits = rows.select("shard", "task", "kind", "key", "of").mapInArrow(run, "of binary, key binary")
+    return hits.groupBy("of").agg(F.collect_set("key").alias("keys"))
 
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    hits = map_batches(texts, pairs, "of binary, key binary").join(dropped, "key", "left_semi").distinct()
-    gone = stage(hits.groupBy("of").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("of", "__hit"), "line-hits")
-    named = map_batches(base.withColumn("__text", F.col("text").cast("binary")), digest, f"{fields}, __of binary")
-    joined = named.join(gone, F.col("__of") == F.col("__hit"), "left").drop("__hit", "__of")
-    return map_batches(joined.withColumn("__text", F.col("text").cast("binary")), apply, f"{fields}, {out}")
+
+def _kept(text: bytes | None, hashes: list[bytes | None], gone) -> tuple[int, int, bytes]:
+    lines = (text or b"").split(b"\n")
+    stay = [x for x, h in zip(lines, hashes, strict=True) if h is None or h not in gone]
+    return len(lines), len(lines) - len(stay), b"\n".join(stay)
 
 
-def _replaced(batch: pa.RecordBatch, more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    """The batch without its working columns, with others behind."""
-    own = [i for i, n in enumerate(batch.schema.names) if n not in ("__text", "__gone", "__of")]
-    return pa.record_batch([*(batch.column(i) for i in own), *more], [*(batch.schema.names[i] for i in own), *names])
+def drop_lines(docs: DataFrame, index: LineIndex, task_lines: int = TASK_LINES) -> DataFrame:
+    """``docs`` with the new columns line_count, line_drops and kept_text (binary)."""
+    least = index.min_chars
+    base = docs.drop("line_count", "line_drops", "kept_text")
+    n = len(base.columns)
+    raw, own, of, gone = unused(base.columns, "raw", "own", "of", "gone")
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    hits = stage(dropped_of(texts, index, task_lines).select(F.col("of").alias(of), F.col("keys").alias(gone)), "line-hits")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(raw)
+        found = pa.array([_hash(t or b"") for t in batch.column(at).to_pylist()], pa.binary())
+        return pa.record_batch([*batch.columns[:at], found], [*batch.schema.names[:at], own])
 
-def _with_results(batch: pa.RecordBatch, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())]
-    return _replaced(batch, cols, ["line_count", "line_drops", "kept_text"])
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t, g in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+            rows.append(_kept(t, _hashes(t, least), frozenset(g)) if g else ((t or b"").count(b"\n") + 1, 0, t or b""))
+        new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+        return pa.record_batch([*batch.columns[:n], *new], [*batch.schema.names[:n], "line_count", "line_drops", "kept_text"])
+
+    rows = map_batches(base.withColumn(raw, F.col("text").cast("binary")), named, f"{fields}, `{own}` binary")
+    met = rows.join(hits, rows[own] == hits[of], "left")
+    met = met.select(*(rows[f"`{c}`"] for c in base.columns), rows["text"].cast("binary").alias(raw), hits[gone])
+    return map_batches(met, apply, f"{fields}, line_count long, line_drops long, kept_text binary")
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, most_broadcast: int = BROADCAST_KEYS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, task_lines: int = TASK_LINES) -> DataFrame:
     """``docs`` without the lines whose key is in ``min_docs`` documents or more; see ``drop_lines``."""
-    return drop_lines(docs, LineIndex(min_docs=min_docs, min_chars=min_chars).insert(docs), most_broadcast)
+    return drop_lines(docs, LineIndex(min_docs=min_docs, min_chars=min_chars).insert(docs), task_lines)
 
 
 def line_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
     done = line_dedup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
     return done.select("doc_id", F.col("line_count").alias("n_lines"), F.col("line_drops").alias("n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
-
