@@ -84,11 +84,11 @@ _BASE32 = (
 
 SQL = {
     "op1_exact_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-                   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+             s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON c.r <> q.r AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
         FROM s QUALIFY rank <= 10""",
     "op2_chat_format": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -120,12 +120,13 @@ SQL = {
         FROM k LEFT JOIN x USING (key) GROUP BY r, doc_id""",
     "op10_mix_sources": """
         WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-             t AS (SELECT source, (1.0::DOUBLE / count(*) OVER ()) * CAST(sum(n) OVER () AS DOUBLE) / n AS rate FROM c),
-             f AS (SELECT source, rate, i AS k, sum(exp(i * ln(rate) - rate - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS cdf
-                   FROM t, range(0, 200) r(i) WHERE i <= ceil(rate + 12 * sqrt(rate) + 30)),
-             d AS (SELECT documents.*, ('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM documents),
-             m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM f WHERE f.source IS NOT DISTINCT FROM d.source AND f.cdf <= d.u) AS times FROM d),
-             e AS (SELECT m.*, unnest(range(times)) AS copy FROM m)
+             t AS (SELECT source, (1.0::DOUBLE / count(*) OVER ()) * CAST(sum(n) OVER () AS DOUBLE) / n AS rate, greatest(1, ceil(rate / 64.0::DOUBLE))::BIGINT AS parts FROM c),
+             f AS (SELECT source, i AS k, sum(exp(i * ln(rate / parts) - rate / parts - lgamma(i + 1))) OVER (PARTITION BY source ORDER BY i) AS cdf
+                   FROM t, range(0, 200) r(i) WHERE i <= ceil(rate / parts + 12 * sqrt(rate / parts) + 30)),
+             p AS (SELECT doc_id, t.source, unnest(range(parts)) AS j FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+             u AS (SELECT *, ('0x' || substr(md5('42|' || CASE WHEN j > 0 THEN 'part|' || j || '|' ELSE '' END || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM p),
+             m AS (SELECT u.doc_id, u.source, sum((SELECT count(*) FROM f WHERE f.source IS NOT DISTINCT FROM u.source AND f.cdf <= u.u))::BIGINT AS times FROM u GROUP BY 1, 2),
+             e AS (SELECT d.*, unnest(range(times)) AS copy FROM documents d JOIN m ON m.doc_id IS NOT DISTINCT FROM d.doc_id AND m.source IS NOT DISTINCT FROM d.source)
         SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy,
                ('0x' || substr(md5('42|position|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy), 1, 12))::BIGINT AS position FROM e""",
 }

@@ -2,12 +2,15 @@
 
 A source's rate is its weight's share of the wanted total over its number of documents. A document is
 repeated k times, k drawn from the Poisson distribution with that mean by inverting its
-distribution function at a number in [0, 1) hashed from seed and doc_id; rows of one doc_id draw the same.
+distribution function at a number in [0, 1) hashed from seed and doc_id; rows of one doc_id draw the same. A rate above
+``MOST_RATE`` is cut into equal parts that are drawn one by one and added, which is the same distribution, so that a table of the
+distribution function is small at any rate.
 Copies get a hashed position and are dealt to partitions by it, so a source of any size
 spreads evenly and the order is global: ascending ``position`` across partitions is a random order.
 
-Defined results: a null source is a source of its own; a null doc_id draws like the text "null"; sources
-that ``weights`` doesn't name have weight 0 and go; an empty table gives an empty result.
+Defined results: a null source is a source of its own; a null doc_id draws like the text "null"; null and empty texts and texts of any
+length are repeated like others; rows that repeat are repeated each; sources that ``weights`` doesn't name have weight 0 and go; an empty
+table gives an empty result; other columns are passed through, whatever their names, but for those with the names of the two new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import partitions, stage, unused
+
+#: The largest rate that is drawn at once.
+MOST_RATE = 64.0
+#: Copies that are listed at once.
+_RUN = 65_536
 
 
 def uniform_hash(*parts: Column) -> Column:
@@ -32,7 +40,7 @@ def hashed(*parts: Column) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, ... as far as it is told from 1.
+    """The distribution function at 0, 1, 2, ... as far as it is told from 1, for a rate of ``MOST_RATE`` or less.
 
     Each term is exp(k ln(rate) - rate - ln k!), so no term underflows that counts.
     """
@@ -49,7 +57,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float = 1.0) -> DataFrame:
-    """source, docs, rate and cdf of every source; ``total`` is the wanted size as a multiple of the input's.
+    """source, n, rate, parts (of the rate) and cdf (of a part) of every source; ``total`` is the wanted size as a multiple of the input's.
 
     Without ``weights`` every source weighs the same.
     """
@@ -63,22 +71,36 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, to
     counts = stage(counts.withColumn("weight", weight), "source-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).first()
     if not sums.n or not sums.w:
-        return counts.select("source", "n", F.lit(0.0).alias("rate"), F.array(F.lit(1.0)).alias("cdf"))
+        return counts.select("source", "n", F.lit(0.0).alias("rate"), F.lit(1).alias("parts"), F.array(F.lit(1.0)).alias("cdf"))
     rate = F.col("weight") / F.lit(float(sums.w)) * F.lit(float(total) * sums.n) / F.col("n")
-    return stage(counts.select("source", "n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate"))), "source-rates")
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float = 1.0, seed: int = 42, shuffled: bool = True) -> DataFrame:
-    """``docs`` with each row repeated by its draw; new columns copy (from 0) and position.
-
-    Columns of ``docs`` with those names are replaced.
-    """
-    docs = docs.drop("copy", "position")
-    rates = source_rates(docs, weights, total).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    rows = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
-    u = uniform_hash(F.lit(seed), F.col("doc_id"))
-    times = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    rows = rows.withColumn("__u", u).withColumn("__times", times).where("__times > 0")
-    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("copy"))
-    rows = rows.withColumn("position", hashed(F.lit(seed), F.lit("position"), F.col("doc_id"), F.col("copy")))
-    return rows.repartition("position").sortWithinPartitions("position") if shuffled else rows
+    rates = counts.select("source", "n", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE).cast("int")))
+    return stage(rates.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts"))), "source-rates")
+
+
+def drawn(seed: int, doc_id: Column, parts: Column, cdf: Column) -> Column:
+    """The sum of the parts' draws, each the number of values of the distribution function up to a hashed number."""
+
+    def draw(u: Column) -> Column:
+        # Bound by a lambda, so that the hash is taken once and not for every value.
+        return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(cdf, lambda c: c <= x))), F.lit(0)).cast("long")
+
+    first = draw(uniform_hash(F.lit(seed), doc_id))
+    others = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0).cast("long"), lambda acc, j: acc + draw(uniform_hash(F.lit(seed), F.lit("part"), j, doc_id)))
+    return F.when(parts > 1, first + others).otherwise(first)
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float = 1.0, seed: int = 42, shuffled: bool = True, names: tuple[str, str] = ("copy", "position")) -> DataFrame:
+    """``docs`` with each row repeated by its draw; the new columns are a copy's number (from 0) and its position."""
+    copy, position = names
+    docs = docs.drop(copy, position)
+    source, parts, cdf, times, run = unused([*docs.columns, copy, position], "of_source", "parts", "cdf", "times", "run")
+    rates = source_rates(docs, weights, total).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    rows = docs.join(rates, docs["source"].eqNullSafe(rates[source]))
+    rows = rows.withColumn(times, drawn(seed, docs["doc_id"], F.col(parts), F.col(cdf))).where(F.col(times) > 0)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # Many copies are listed in runs, as no list of them all need fit in a row.
+    first = F.col(run) * _RUN
+    rows = rows.select(*own, times, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / _RUN))).alias(run))
+    rows = rows.select(*own, F.explode(F.sequence(first, F.least(first + _RUN, F.col(times)) - 1)).alias(copy)).withColumn(copy, F.col(copy).cast("int"))
+    rows = rows.withColumn(position, hashed(F.lit(seed), F.lit("position"), F.col("doc_id"), F.col(copy)))
+    return rows.repartition(partitions(docs), position).sortWithinPartitions(position) if shuffled else rows
