@@ -6,7 +6,9 @@ checked against, the digests themselves with their reference counts. Rows are co
 digest inside each map task before they are shuffled, so a group of copies of any size sends
 a shard one row per task at most.
 
-Defined results: a null text counts as empty; an empty table gives an empty result; of repeated
+A hit's content is its SHA-256 digest, which no two known texts share; the texts themselves are not stored again.
+
+Defined results: a null text counts as empty, as does one of blanks alone; texts of any length are hashed whole; an empty table gives an empty result; of repeated
 rows (same text and doc_id) exactly one can be kept; a null doc_id comes after all others
 in ties; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
@@ -47,15 +49,15 @@ def text_digests(docs: DataFrame) -> DataFrame:
 
 
 def shard_count(n: int, shards: int = 16) -> int:
-    """Shards for ``n`` keys, ``shards`` at least."""
-    while shards * SHARD_KEYS < n and shards < 65536:
+    """Shards for ``n`` keys, ``shards`` at least: as many as keep each at about ``SHARD_KEYS``, up to 2**30."""
+    while shards * SHARD_KEYS < n and shards < 1 << 30:
         shards *= 2
     return shards
 
 
 def _shard(shards: int):
-    """A digest's shard, from its last two bytes; the filter reads its first ten."""
-    return F.conv(F.hex(F.substring("digest", 31, 2)), 16, 10).cast("int") % F.lit(shards)
+    """A digest's shard, from its last four bytes; the filter reads its first ten."""
+    return (F.conv(F.hex(F.substring("digest", 29, 4)), 16, 10).cast("long") % F.lit(shards)).cast("int")
 
 
 def _apply(group: pd.DataFrame) -> pd.DataFrame:
@@ -110,9 +112,16 @@ class CuckooIndex:
         batch = counted(digests).select(
             _shard(self.shards).alias("shard"), "digest", (F.col("refs") * sign).alias("refs"), F.lit(None).cast("binary").alias("filter"), F.lit(True).alias("new")
         )
+        rest = None
         if self.rows is not None:
-            batch = batch.unionByName(self.rows.withColumn("new", F.lit(False)))
-        return CuckooIndex(stage(batch.groupBy("shard").applyInPandas(_apply, INDEX), "cuckoo-index"), self.shards)
+            # Shards that the batch doesn't touch are passed on as they are, without a shuffle or a task of their own.
+            batch = stage(batch, "index-changes")
+            touched = stage(batch.select(F.col("shard").alias("touched")).distinct(), "touched-shards")
+            there = self.rows["shard"] == touched["touched"]
+            rest = self.rows.join(touched, there, "left_anti")
+            batch = batch.unionByName(self.rows.join(touched, there, "left_semi").withColumn("new", F.lit(False)))
+        rows = batch.groupBy("shard").applyInPandas(_apply, INDEX)
+        return CuckooIndex(stage(rows if rest is None else rows.unionByName(rest), "cuckoo-index"), self.shards)
 
     def keys(self) -> DataFrame:
         return self.rows.where("digest is not null").select("digest", "refs")

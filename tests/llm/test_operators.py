@@ -72,20 +72,50 @@ def test_cuckoo_filter_inserts_deletes_and_resizes():
 def brute_top_k(rows, k, every):
     good = [(i, s) for i, v in rows if i is not None and (s := topk.scaled(v, 1024)) is not None]
     out = []
-    for i, q in good:
+    for at, (i, q) in enumerate(good):
         if i % every == 0:
-            found = sorted(((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in good if j != i and len(c) == len(q)))[:k]
+            found = sorted(((-sum(a * b for a, b in zip(q, c, strict=True)), j) for n, (j, c) in enumerate(good) if n != at and len(c) == len(q)))[:k]
             out += [(i, n, j, max(-(2**63 - 1), min(2**63 - 1, -s))) for n, (s, j) in enumerate(found, 1)]
     return Counter(out)
 
 
-@pytest.mark.parametrize("shard_rows", [16, 8192])
-def test_top_k_is_exact(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, options", [(16, {"group_shards": 2, "first_wave": 1}), (8192, {})])
+def test_top_k_is_exact(spark, shard_rows, options):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(40)] + [(500, None), (600, [math.nan] * 8), (700, [None] * 8), (800, [1.0, 2.0]), (900, [1e30] * 8), (901, [-1e30] * 8), (None, [0.1] * 8), (1000, []), (100, rows[100][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    assert Counter(collected(topk.top_k(df, 5, 50, shard_rows=shard_rows))) == brute_top_k(rows, 5, 50)
+    assert Counter(collected(topk.top_k(df, 5, 50, shard_rows=shard_rows, **options))) == brute_top_k(rows, 5, 50)
+
+
+def test_a_repeated_row_is_a_candidate_of_the_others(spark):
+    df = spark.createDataFrame([(100, [1.0]), (100, [1.0]), (1, [0.5])], "vec_id long, embedding array<double>")
+    assert sorted(collected(topk.top_k(df))) == [(100, 1, 100, 1024 * 1024)] * 2 + [(100, 2, 1, 512 * 1024)] * 2
+
+
+def test_blocks_go_only_where_they_can_gain():
+    """Of 1000 shards in 250 far clusters, a block whose scores are known goes to the few that can beat them; inner nodes prune too."""
+    rng = np.random.default_rng(4)
+    at = rng.normal(0, 1, (250, 16))
+    at *= 5000 / np.linalg.norm(at, axis=1)[:, None]
+    built = [topk.BallTree(np.arange(256) + 1000 * s, (at[s // 4] + rng.normal(0, 30, (256, 16))).astype(np.int64), 16) for s in range(1000)]
+    places = np.arange(1000)
+    centres = {16: (places, np.array([t.centres[0] for t in built]), np.array([t.radii[0] for t in built]))}
+    whole = topk.BallTree(np.arange(256 * 50), np.concatenate([t.rows for t in built[:200:4]]), 64)
+    assert topk.Best(whole.ids[:4], whole.rows[:4], 10).search(whole, np.arange(4)) < 4 * 256 * 10
+    best = topk.Best(built[0].ids[:4], built[0].rows[:4], 10)
+    best.search(built[0], np.arange(4))
+    sent = topk.useful(best, 0, places, centres)
+    assert {1, 2, 3} <= set(sent) and len(sent) < 50
+    want = [sorted(((-int(q @ r), int(i)) for t in built for i, r in zip(t.ids, t.rows, strict=True) if i != own))[:10] for own, q in zip(best.ids, best.queries, strict=True)]
+    for shard in sent:
+        best.search(built[shard])
+    assert [[(-s, i) for s, i in found] for found in best.found] == want
+
+
+def test_waves_cover_all_groups_and_double():
+    assert topk.waves(100, 40, 8) == [(0, 8), (8, 16), (16, 32), (32, 64), (64, 100)]
+    assert topk.waves(3, 1) == [(0, 1), (1, 2), (2, 3)] and topk.waves(0, 5) == []
 
 
 def test_top_k_of_nothing(spark):
@@ -240,15 +270,41 @@ def brute_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_line_dedup(docs, empty, broadcast):
+@pytest.mark.parametrize("task_lines", [5, 10**6])
+def test_line_dedup(docs, empty, task_lines):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert Counter(collected(line_dedup.line_report(docs, most_broadcast=broadcast))) == brute_lines(rows, 10)
-    assert not collected(line_dedup.line_report(empty, most_broadcast=broadcast))
-    whole = line_dedup.line_dedup(docs, most_broadcast=broadcast)
+    assert Counter(collected(line_dedup.line_report(docs, task_lines=task_lines))) == brute_lines(rows, 10)
+    assert not collected(line_dedup.line_report(empty, task_lines=task_lines))
+    whole = line_dedup.line_dedup(docs, task_lines=task_lines)
     assert whole.columns[: len(docs.columns)] == docs.columns and whole.where("of = 'y' and key = 'x'").count() == len(rows)
 
 
+CLASHING = ("raw", "own", "of", "gone", "__text", "__gone", "__of", "__u", "__times", "__source", "run", "parts", "cdf", "times", "line_count", "quality_score", "Key")
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    """Working columns have names that the input's have not."""
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"own {n}").alias(n) for n in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    lines = line_dedup.line_dedup(own)
+    scored = quality.classify(own, labels, name="score of mine")
+    mixed = mixing.mix(own)
+    for got, new in ((lines, {"line_count"}), (scored, set()), (mixed, set())):
+        rows = got.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in CLASHING if n not in new)
+    assert scored.columns == [*own.columns, "score of mine"]
+
+
+def test_many_dropped_lines_have_one_way(spark, docs_schema):
+    """Filters of many shards, each with a part of the dropped keys."""
+    rows = [(i, "\n".join(f"line {k}" for k in range(i % 7, 3000, 7)) + f"\nown {i}", "en", "s", 1) for i in range(70)]
+    df = spark.createDataFrame(rows, docs_schema).repartition(4)
+    index = line_dedup.LineIndex(shards=256).insert(df)
+    assert index.dropped().count() == 3000 and index.cells.count() == 256
+    got = line_dedup.drop_lines(df, index, 100).collect()
+    assert all(bytes(r.kept_text).decode() == f"own {r.doc_id}" for r in got) and len(got) == 70
+
+
 def test_line_index_can_be_undone(docs):
     some, rest = docs.where("doc_id < 315 or doc_id is null"), docs.where("doc_id >= 315")
     index = line_dedup.LineIndex().insert(some)
@@ -500,6 +556,30 @@ def test_mixing_inverts_the_poisson_distribution(spark, docs):
         assert got[r.doc_id] == k * sum(x.doc_id == r.doc_id for x in rows)
 
 
+@pytest.mark.parametrize("rate", [150.0, 1e6])
+def test_large_rates(spark, docs_schema, rate):
+    """A rate beyond what is drawn at once: parts that add up to a draw of the same distribution."""
+    n = 40 if rate < 1000 else 1
+    rows = [(i, "", "en", "rare", 1) for i in range(n)]
+    df = spark.createDataFrame(rows, docs_schema)
+    counts = {r.doc_id: r["count"] for r in mixing.mix(df, total=rate, shuffled=False).groupBy("doc_id").count().collect()}
+    draws = np.array(list(counts.values()))
+    assert len(draws) == n and abs(draws.mean() - rate) < 5 * math.sqrt(rate / n)
+    if n > 1:
+        assert 0.4 * rate < draws.var() < 2 * rate
+        for i, k in counts.items():
+            want = 0
+            for j in range(3):
+                name = f"42|{i}" if not j else f"42|part|{j}|{i}"
+                u, own = int(hashlib.md5(name.encode()).hexdigest()[:12], 16) / 2**48, 0
+                total = math.exp(-rate / 3)
+                while total <= u:
+                    own += 1
+                    total += math.exp(-rate / 3 + own * math.log(rate / 3) - math.lgamma(own + 1))
+                want += own
+            assert k == want
+
+
 def test_mixing_nothing(empty):
     assert not collected(mixing.mix(empty))
 
