@@ -10,9 +10,9 @@ neighbouring ones joined). A sequence ends at ``most_chars``, and then begins an
 the first turn, so no group of conversations is ever held whole. A conversation is a record and must
 fit a task, as a document must.
 
-Defined results: a null text or role is empty; turns with equal numbers are in order of role and
-text, null numbers first; rows with a null conv_id are one conversation; other columns are
-ignored; an empty table gives an empty result.
+Defined results: a null text or role is empty, and texts of any length are written whole; turns with equal numbers are in order of role and
+text, null numbers first, and turns that repeat stay; a row with a null conv_id is a conversation of its own, so that no such rows
+gather in one task; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import partitions, stage
 
 MOST_CHARS, MOST_CONVERSATIONS = 262_144, 4096
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
@@ -110,7 +110,9 @@ class Sequence:
 def conversations_sorted(rows: DataFrame) -> DataFrame:
     """conv_id, turns, key: one row per conversation; those that share initial turns share the key's start."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    own = F.col("conv_id").cast("long").alias("conv_id")
+    convs = rows.where("conv_id is not null").groupBy(own).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    convs = convs.unionByName(rows.where("conv_id is null").select(own, F.array(turn).alias("turns")))
     digest = lambda t: F.substring(F.sha2(F.concat(t["role"], F.lit("\n"), t["text"]), 256), 1, 12)
     return convs.withColumn("key", F.array_join(F.transform("turns", digest), ""))
 
@@ -133,8 +135,7 @@ def format_chats(rows: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
             yield seq.batch()
 
     convs = stage(conversations_sorted(rows), "conversations")
-    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = convs.repartitionByRange(n, "key", "conv_id").sortWithinPartitions("key", "conv_id")
+    dealt = convs.repartitionByRange(partitions(rows), "key", "conv_id").sortWithinPartitions("key", "conv_id")
     return dealt.select("conv_id", "turns").mapInArrow(run, _DDL)
 
 

@@ -11,6 +11,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Folders of tables that were written out, by application, in order.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,7 +41,10 @@ BATCH_BYTES = "8m"
 
 
 def lighten(spark: SparkSession) -> None:
-    """Send Python smaller batches, so that long texts need little memory in each worker."""
+    """Send Python smaller batches, so that long texts need little memory in each worker.
+
+    Frames are run after the operator that made them has returned, so the setting stays; one that was chosen is left as it is.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "64m", "64MB", "67108864"):
         spark.conf.set(key, BATCH_BYTES)
@@ -51,9 +56,38 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     lighten(spark)
     path = shared_path(spark, label)
     df.write.parquet(path)
+    written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Folders that ``stage`` has written in this application and ``drop_written`` has not deleted."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+def drop_written(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables; no frame that reads one may be used after that."""
+    for path in list(paths):
+        fs, root = storage(path)
+        fs.delete_dir(root)
+        written(spark).remove(path)
+
+
+def drop_orphans(spark: SparkSession, folder: str, index: DataFrame) -> int:
+    """Delete the files of a folder that an index (column file) doesn't name, as attempts that failed leave them; how many.
+
+    For when the job that wrote them is over; file names, not records, come to the driver.
+    """
+    fs, root = storage(folder)
+    there = [(f.base_name,) for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File]
+    if not there:
+        return 0
+    found = spark.createDataFrame(there, "file string").join(index.select("file").distinct(), "file", "left_anti").collect()
+    for row in found:
+        fs.delete_file(f"{root}/{row.file}")
+    return len(found)
+
+
 def partitions(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions to deal ``df`` to: the session's number, and more if by Spark's estimate of its size they would be large."""
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

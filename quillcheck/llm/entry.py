@@ -64,14 +64,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=None, total=1.0, seed=42)
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Query]:
-    own = (op1_exact_top_k, op2_chat_format, op3_quality_classifier, op4_warc, op5_exact_dedup, op6_line_dedup, op7_best_fit_packing, op8_token_output, op9_simhash_near_dedup, op10_mix_sources, pipeline)
+    own = (op1_exact_top_k, op2_chat_format, op3_quality_classifier, op4_warc, op5_exact_dedup, op6_line_dedup, op7_best_fit_packing, op8_token_output, op9_simhash_near_dedup, op10_mix_sources)
     return {f.__name__: f for f in own}
 
 

@@ -6,11 +6,12 @@ fall into classes by length. The linear program (fewest sequences over all confi
 solved by multiplicative weights: a class whose coverage lags weighs more, and a knapsack over the weights prices
 the next configuration. Its amounts are rounded down, and best fit, length by length, places what is left into the
 sequences begun and new ones. Several shares of the program's solution are tried, none among them; the plan with
-the fewest sequences is taken. A piece finds its place by its rank among the pieces of its length, so
-no task holds more than a bucket's run at a time.
+the fewest sequences is taken. A piece finds its place by its rank among the pieces of its length. A length that many pieces have
+(that of a whole sequence, for one) is dealt to as many buckets as it needs, so no task gets more than about ``BUCKET`` pieces.
 
-Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; an
-empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is the end id alone; a text of any length is cut whole into pieces; repeated rows are documents of
+their own; pieces of equal length are in order of doc_id, piece and checksum within their bucket; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +36,13 @@ ROUNDS = 1000
 #: Classes of the program, and the share of a sequence up to which a piece has none.
 GROUPS, SMALLEST = 96, 16
 #: Shares of the program's solution that are tried; best fit places the rest.
-SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
+SHARES = (1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1)
+#: Pieces of one length to a bucket, about, and buckets that a length can have.
+BUCKET, MOST_BUCKETS = 4_000_000, 1 << 20
 
 
-def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, buckets: int = 64) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and a bucket that spreads equal lengths evenly."""
+def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and a turn whose remainders spread equal lengths evenly."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,13 +54,13 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     turn += 1
-                    for col, x in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), turn % buckets), strict=True):
+                    for col, x in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), turn % MOST_BUCKETS), strict=True):
                         col.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "bucket"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, turn int")
 
 
 def classes(counts: np.ndarray, size: int, groups: int = GROUPS) -> list[tuple[int, int]]:
@@ -118,15 +121,28 @@ def program(sizes: np.ndarray, wanted: np.ndarray, room: int, rounds: int = ROUN
 
 
 def rounded(amounts: dict[Configuration, float], share: float, wanted: np.ndarray) -> list[tuple[Configuration, int]]:
-    """A share of the amounts, rounded down to whole sequences that the pieces fill; the largest amounts first."""
-    have, out = wanted.astype(np.int64), []
-    for configuration, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        n = min([int(amount * share), *(int(have[k]) // times for k, times in configuration)])
-        if n > 0 and configuration:
-            out.append((configuration, n))
-            for k, times in configuration:
-                have[k] -= n * times
-    return out
+    """A share of the amounts in whole sequences that the pieces fill, the largest amounts first.
+
+    Amounts are rounded down; then those with the largest remainders get one more, until the share is used up.
+    """
+    have, times = wanted.astype(np.int64), dict.fromkeys(amounts, 0)
+
+    def take(configuration: Configuration, n: int) -> int:
+        n = min([n, *(int(have[k]) // often for k, often in configuration)]) if configuration else 0
+        for k, often in configuration:
+            have[k] -= n * often
+        times[configuration] += n
+        return n
+
+    order = sorted(amounts, key=lambda c: (-amounts[c], c))
+    left = round(share * sum(amounts.values()))
+    for configuration in order:
+        left -= take(configuration, int(amounts[configuration] * share))
+    for configuration in sorted(order, key=lambda c: int(amounts[c] * share) - amounts[c] * share):
+        if left <= 0:
+            break
+        left -= take(configuration, 1)
+    return [(c, times[c]) for c in order if times[c]]
 
 
 def filled(plan: list[tuple[Configuration, int]], kinds: list[tuple[int, int]], left: np.ndarray) -> dict[Filling, int]:
@@ -251,31 +267,40 @@ class Places:
         return first[k] + i // times[k], at[k] + i % times[k] * length
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, bucket: int = BUCKET) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = stage(pieces(docs, size, end_id, path, buckets), "pieces")
-    hist = np.zeros((size + 1, buckets), np.int64)
-    for r in rows.groupBy("length", "bucket").count().toPandas().itertuples(index=False):
-        hist[int(r[0]), int(r[1])] = int(r[2])
-    before = np.cumsum(hist, axis=1) - hist
-    held = spark.sparkContext.broadcast((before, Places(solve(hist.sum(axis=1), size))))
+    rows = stage(pieces(docs, size, end_id, path), "pieces")
+    # As many counts come to the driver as there are lengths, then one for each bucket of ``bucket`` pieces.
+    counts = np.zeros(size + 1, np.int64)
+    for r in rows.groupBy("length").count().toPandas().itertuples(index=False):
+        counts[int(r[0])] = int(r[1])
+    many = {int(n): min(MOST_BUCKETS, -(-int(counts[n]) // bucket)) for n in np.flatnonzero(counts > bucket)}
+    own = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("length").cast("int")], F.lit(1)) if many else F.lit(1)
+    rows = rows.withColumn("bucket", F.col("turn") % own).drop("turn")
+    before: dict[tuple[int, int], int] = {}
+    if many:
+        sizes = sorted((int(r.length), int(r.bucket), int(r["count"])) for r in rows.where(F.col("length").isin(*many)).groupBy("length", "bucket").count().collect())
+        runs = np.cumsum([n for _, _, n in sizes]) - [n for _, _, n in sizes]
+        first: dict[int, int] = {}
+        for (length, k, _), at in zip(sizes, runs.tolist(), strict=True):
+            before[length, k] = at - first.setdefault(length, at)
+    held = spark.sparkContext.broadcast((before, Places(solve(counts, size))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, places = held.value
         group, seen = None, 0
         for batch in batches:
-            length, bucket = batch.column("length").to_numpy(), batch.column("bucket").to_numpy()
+            length, own = batch.column("length").to_numpy(), batch.column("bucket").to_numpy()
             seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-            code = length * buckets + bucket
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            cuts = [0, *(np.flatnonzero((np.diff(length) != 0) | (np.diff(own) != 0)) + 1).tolist(), len(length)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if code[a] != group:
-                    group, seen = code[a], 0
-                ranks = before[length[a], bucket[a]] + seen + np.arange(b - a)
-                seq[a:b], off[a:b] = places.find(int(length[a]), ranks)
+                if (key := (int(length[a]), int(own[a]))) != group:
+                    group, seen = key, 0
+                ranks = before.get(key, 0) + seen + np.arange(b - a)
+                seq[a:b], off[a:b] = places.find(key[0], ranks)
                 seen += b - a
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])

@@ -13,8 +13,10 @@ a very full shard is dealt to pairs of blocks of fingerprints, each a tree of it
 The pipeline's stage takes such links as candidates only, and compares the shingle sets before a document goes.
 
 Defined results: a null, empty or blank text has the fingerprint zero and links like any other; a text with
-fewer words than a shingle is one shingle; repeated rows come back as often as they are; an empty table
-gives an empty result; a component of null doc_ids only has a null component_id.
+fewer words than a shingle is one shingle; a text of any length is read whole; repeated rows come back as often as they are (as near
+copies one of them stays); of ties the smallest doc_id is first, null last; an empty table
+gives an empty result; a component of null doc_ids only has a null component_id; other columns are ignored or, by ``near_dedup``, passed
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage
+from .common import map_batches, stage, unused
 from .graph import components
 
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
@@ -155,13 +157,13 @@ def links(fps: DataFrame, radius: int, parts: list[Column], full: int = FULL, *,
     sizes = rows.groupBy("band", "value").count().where(F.col("count") > full)
     sizes = stage(sizes.select(F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("count") / full).cast("int").alias("blocks")), "full-shards")
     if sizes.isEmpty():
-        rows = rows.withColumn("pair", F.lit(0))
+        rows = rows.withColumn("pair", F.lit(0).cast("long"))
     else:
         rows = rows.join(sizes, (rows.band == sizes.b) & (rows.value == sizes.v), "left")
         own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
         rows = rows.withColumn("own", own).select("fp", "band", "value", "own", other)
-        rows = rows.select("fp", "band", "value", (F.least("own", "other") * 65536 + F.greatest("own", "other")).alias("pair"))
+        rows = rows.select("fp", "band", "value", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -338,16 +340,17 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by doc_id and text; of rows that have both in common and stay, one stays.
     """
-    found = near_copies(docs, **(WIDE | options)).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__of"), "least")
+    one, tie, mark = unused(docs.columns, "of_id", "of_tie", "tie")
+    found = near_copies(docs, **(WIDE | options)).select(F.col("doc_id").alias(one), F.col("tie").alias(tie), F.col("least").alias("first"))
     found = stage(found, "near-groups")
-    first = F.col("__id").eqNullSafe(F.col("least.doc_id")) & (F.col("__of") == F.col("least.tie"))
+    first = F.col(one).eqNullSafe(F.col("first.doc_id")) & (F.col(tie) == F.col("first.tie"))
     # Written out, so that Spark knows its size when it chooses between a broadcast and a shuffle of the texts.
-    gone = stage(found.where(~first).select("__id", "__of").distinct(), "gone")
-    rows = docs.withColumn("__tie", F.xxhash64("text"))
-    same = lambda other: rows["doc_id"].eqNullSafe(other["__id"]) & (rows["__tie"] == other["__of"])
+    gone = stage(found.where(~first).select(one, tie).distinct(), "gone")
+    rows = docs.withColumn(mark, F.xxhash64(docs["text"]))
+    same = lambda other: rows["doc_id"].eqNullSafe(other[one]) & (rows[mark] == other[tie])
     stay = rows.join(gone, same(gone), "left_anti")
-    twice = stage(found.where(first).groupBy("__id", "__of").count().where("count > 1").select("__id", "__of"), "repeated")
+    twice = stage(found.where(first).groupBy(one, tie).count().where("count > 1").select(one, tie), "repeated")
     if twice.isEmpty():
-        return stay.drop("__tie")
-    one = stay.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__tie"])
-    return stay.join(twice, same(twice), "left_anti").unionByName(one).drop("__tie")
+        return stay.drop(mark)
+    single = stay.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", mark])
+    return stay.join(twice, same(twice), "left_anti").unionByName(single).drop(mark)

@@ -5,6 +5,8 @@ every record its file, offset, length, URL and digest. Reading selects index row
 offset and joins neighbouring byte ranges into one read each. Of records with equal payloads that with
 the smallest page_id is a response and the others are revisits of it.
 
+A record's id is made of its file and offset, so repeated rows have records of their own.
+
 Defined results: null html is an empty payload; a null url is empty, and control characters in one are
 percent-encoded; rows with the smallest page_id of their payload are all responses, so a repeated row is written
 each time; a null page_id comes last, and where a payload has no other, its rows are responses; an empty
@@ -35,23 +37,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
-
-
-def record(page: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record, compressed."""
+def record(name: str, page: int | None, url: str, payload: bytes, digest: str, refers_to: tuple[int, str] | None, date: str) -> bytes:
+    """One record, compressed. ``name`` is unlike that of any other record; ``refers_to``: page and URL of the response it revisits."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    safe = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_record_id(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha1:{digest}"]
+    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}", f"WARC-Target-URI: {_safe(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     head += [] if page is None else [f"X-Page-Id: {page}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To-Target-URI: {_safe(refers_to[1])}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-Id: {refers_to[0]}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
 
 
+def _safe(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """A record's own header, its HTTP header and what follows that."""
     raw = gzip.decompress(data)
@@ -71,11 +73,12 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    small = stage(rows.select("page_id", "sha", F.length("payload").alias("n")), "payload-digests")
-    shared = small.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("c"), F.min("page_id").alias("first"))
-    shared = stage(shared.where("c > 1").select(F.col("sha").alias("of"), "first"), "shared-payloads")
+    small = stage(rows.select("page_id", "url", "sha", F.length("payload").alias("n")), "payload-digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    shared = small.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("c"), first.alias("first"))
+    shared = stage(shared.where("c > 1").select(F.col("sha").alias("of"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "shared-payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    planned = rows.join(shared, rows["sha"] == shared["of"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    planned = rows.join(shared, rows["sha"] == shared["of"], "left").select("page_id", "url", "payload", refers.alias("refers_to"), "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,14 +92,14 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, dat
             return pa.record_batch([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], [c.split()[0] for c in INDEX.split(", ")])
 
         for batch in batches:
-            for page, url, raw, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for page, url, raw, refers_to, first_url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if out is None:
                     # Every attempt of a task writes files of its own; the index names those of the one that counts.
                     name, at = f"part-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 body = raw.as_py()
                 digest = base32_sha1(body)
-                data = record(page, url, body, digest, refers_to, date)
+                data = record(f"{name}:{at}", page, url, body, digest, None if refers_to is None else (refers_to, first_url), date)
                 out.write(data)
                 found.append((name, at, len(data), url, digest, page, "response" if refers_to is None else "revisit", refers_to))
                 at += len(data)

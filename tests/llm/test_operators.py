@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillcheck.llm import chat, dac, exact_dedup, graph, line_dedup, mixing, packing, quality, simhash, tokens, topk, warc
+from quillcheck.llm.common import drop_orphans
 from quillcheck.llm.cuckoo import CuckooFilter
 
 BLANKS = " \t\n\v\f\r"
@@ -191,6 +192,34 @@ def test_quality_ignores_labels_it_may_not_learn(spark, docs_schema):
     assert sorted(collected(quality.quality_report(docs, labels))) == sorted(collected(quality.quality_report(docs, wrong)))
 
 
+def test_quality_is_a_plain_refit(spark):
+    """The query's columns again in plain Python: who is held out, the fit on the others, every score, what is predicted."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and not out[r.doc_id]}
+    ids = sorted(known)
+    x = np.stack([quality.features((texts[i] or "").encode()) for i in ids])
+    y = np.array([known[i] for i in ids])
+    mean, scale = x.mean(0), np.where(x.std(0) < 1e-6, 1.0, x.std(0))
+    z = np.clip((x - mean) / scale, -8, 8).astype(float)
+    rng = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    gap = z[rng.choice(good, 40_000)] - z[rng.choice(bad, 40_000)]
+    w = np.zeros(z.shape[1])
+    for _ in range(300):  # plain descent on the logistic loss of the same pairs
+        w += 0.5 * (gap.T @ (1 / (1 + np.exp(gap @ w))) / len(gap) - 1e-3 * w)
+    share = float(np.mean([q for q in (r.quality for r in labels.collect() if not zlib.crc32(str(r.doc_id).encode()) % 3 == 1)]))
+    cut = np.quantile(z @ w, 1 - share)
+    got = {r.doc_id: r for r in quality.quality_report(docs, labels).collect()}
+    assert got.keys() == texts.keys()
+    assert all(got[i].held_out == out[i] and got[i].predicted == (got[i].score >= 0.5) and 0 <= got[i].score <= 1 for i in texts)
+    own = {i: float(np.clip((quality.features((texts[i] or "").encode()) - mean) / scale, -8, 8) @ w - cut) for i in texts}
+    agree = np.mean([(own[i] >= 0) == bool(got[i].predicted) for i in texts])
+    ranks = np.corrcoef(np.argsort(np.argsort([own[i] for i in texts])), np.argsort(np.argsort([got[i].score for i in texts])))[0, 1]
+    assert agree > 0.95 and ranks > 0.9
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
     got = quality.quality_report(docs, labels).collect()
@@ -222,6 +251,28 @@ def test_warc_round_trip(spark):
     assert not collected(warc.round_trip(df.where("false")))
 
 
+def test_records_have_ids_of_their_own(spark):
+    rows = [(1, "http://h/1", "same"), (1, "http://h/1", "same"), (None, "http://h/n", "lone"), (None, "http://h/n", "lone"), (2, "http://h/2", "same")]
+    index, folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    fs, root = warc.storage(folder)
+    heads = []
+    for r in index.collect():
+        with fs.open_input_file(f"{root}/{r.file}") as f:
+            heads.append(warc.parse(f.read_at(r.length, r.offset))[0])
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    (revisit,) = (h for h in heads if h["WARC-Type"] == "revisit")
+    assert revisit["WARC-Refers-To-Target-URI"] == "http://h/1" and revisit["X-Refers-To-Page-Id"] == "1"
+
+
+def test_orphans_go(spark):
+    index, folder = warc.write(spark.createDataFrame([(1, "http://h/1", "x")], "page_id long, url string, html string"))
+    fs, root = warc.storage(folder)
+    with fs.open_output_stream(f"{root}/part-000000-left.warc.gz") as f:
+        f.write(b"half")
+    assert drop_orphans(spark, folder, index) == 1
+    assert [r.page_id for r in warc.read(index, folder).collect()] == [1]
+
+
 def test_byte_ranges_are_joined():
     assert warc.ranges([(0, 10), (10, 10), (100, 5), (10_000, 5)], gap=100, most=1000) == [(0, 105, 3), (10_000, 5, 1)]
 
@@ -345,9 +396,10 @@ def test_word_cache_on_latin_words_and_a_full_cache(monkeypatch):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_packing(docs, empty, ids):
+@pytest.mark.parametrize("bucket", [3, 10**6])
+def test_packing(docs, empty, ids, bucket):
     size = 64
-    got = packing.pack(docs, size=size).collect()
+    got = packing.pack(docs, size=size, bucket=bucket).collect()
     want = Counter()
     for r in docs.collect():
         own = [*ids(r.text), 0]
@@ -391,6 +443,15 @@ def test_configuration_program_beats_best_fit():
     assert sum(n for _, n in packing.solve(counts)) < sum(packing.best_fit(counts, 2048).values())
 
 
+def test_a_share_of_the_program_is_that_share():
+    """Rounding keeps the amount of sequences, as far as pieces last."""
+    sizes, wanted = np.array([50, 34, 33, 20]), np.array([400.0, 1000.0, 1000.0, 600.0])
+    amounts = packing.program(sizes, wanted, 100)
+    for share in (0.1, 0.5):
+        n = sum(n for _, n in packing.rounded(amounts, share, wanted))
+        assert abs(n - share * sum(amounts.values())) <= 1
+
+
 def test_program_covers_its_classes():
     sizes, wanted = np.array([50, 34, 33, 20]), np.array([40.0, 100.0, 100.0, 60.0])
     covered = np.zeros(4)

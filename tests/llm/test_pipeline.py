@@ -9,7 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillcheck.llm import quality, simhash, tokens
+from quillcheck.llm import quality, tokens
+from quillcheck.llm.common import written
+
+from .test_near_copies import kept
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -35,7 +38,8 @@ def test_run_is_its_stages(spark):
 
 
 def test_run_is_what_brute_force_gives(spark):
-    """Every stage again over plain rows; the classifier's score is the query's, whose accuracy has a test of its own."""
+    """Every stage again over plain rows, near copies by the true similarity of their shingle sets; the classifier's score
+    is the query's, which has tests of its own."""
     table, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     good = {r.doc_id for r in quality.quality_report(table, labels).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text, r.source) for r in table.collect() if r.doc_id in good]
@@ -44,20 +48,8 @@ def test_run_is_what_brute_force_gives(spark):
     gone = {k for k, n in seen.items() if k and n >= 10}
     rows = [(i, "\n".join(x for x in text.split("\n") if key(x) not in gone), source) for i, text, source in rows]
 
-    prints = {i: int.from_bytes(simhash.simhash(text.encode(), 5, 7), "big") for i, text, _ in rows}
-    root = {i: i for i in prints}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    shared = lambda a, b: any((a ^ b) >> 8 * k & 0xFFFF == 0 for k in range(55))
-    for i in prints:
-        for j in prints:
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 77 and shared(prints[i], prints[j]):
-                root[max(top(i), top(j))] = min(top(i), top(j))
-    rows = [r for r in rows if top(r[0]) == r[0]]
+    first = set(kept([(i, text) for i, text, _ in rows]))
+    rows = [r for r in rows if r[0] in first]
 
     of = Counter(source for _, _, source in rows)
     times = {}
@@ -83,3 +75,41 @@ def test_run_is_what_brute_force_gives(spark):
         sequences[r.sequence_id].append((r.offset, r.length))
     for parts in sequences.values():
         assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()]
+
+
+EXTRA = ("score", "copy", "position", "line_count", "line_drops", "kept_text", "quality_score", "of", "tie", "c0", "first")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs_schema):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, columns named like those that stages work with."""
+    rows = [(1, "a fine text of some words", "en", "s", 5), (1, "a fine text of some words", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (4, " \n\t", "en", "s", 3)]
+    rows += [(None, "no id at all here, only words", "en", "s", 9), (5, "long words of a row " * 20_000, "en", "t", 1)]
+    rows += [(10 + i, f"the same line\nown line {i}", "en", "t", 20) for i in range(12)]
+    return spark.createDataFrame(rows, docs_schema).select("*", *(F.lit(f"own {n}").alias(n) for n in EXTRA))
+
+
+def test_stages_take_odd_rows(spark, odd):
+    keep, lines, copies, mixed, packed = (f for _, f in corpus_pipeline.STAGES)
+    n = odd.count()
+    for stage in (keep, lines, copies, mixed):
+        got = stage(spark, odd, SF)
+        assert got.dtypes == odd.dtypes, stage
+        rows = got.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in EXTRA)
+        assert stage(spark, odd.where("false"), SF).dtypes == odd.dtypes and not stage(spark, odd.where("false"), SF).collect()
+    same = {(r.doc_id, r.text, r.n_chars) for r in odd.collect()}
+    after = lines(spark, odd, SF).collect()
+    assert len(after) == n and all(r.text == f"own line {r.doc_id - 10}" and r.n_chars == len(r.text) if (r.doc_id or 0) >= 10 else (r.doc_id, r.text, r.n_chars) in same for r in after)
+    # Null, empty and blank texts are copies of each other, as are the rows that repeat; the rest stays.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in copies(spark, odd, SF).collect()) == [(False, i) for i in (1, 2, 5, *range(10, 22))] + [(True, 0)]
+    pieces = packed(spark, odd, SF).collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(r.doc_id for r in odd.collect())
+    assert not packed(spark, odd.where("false"), SF).collect()
+
+
+def test_run_deletes_what_stages_leave_behind(spark):
+    before = len(written(spark))
+    corpus_pipeline.run(spark, SF).count()
+    # The four stages' results and what the last one stands on.
+    assert len(written(spark)) - before <= 6
