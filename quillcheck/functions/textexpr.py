@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import HOW, NEGATORS, STOP, WALL_MARKS
+from ..schemas import HOW, LEAST_CHARS, NEGATORS, STOP, WALL_CHARS, WALL_MARKS
 
 _QUOTES_FROM, _QUOTES_TO = "\u2018\u2019\u201c\u201d\u2013\u2011\u00a0\u200b\u200c\u200d\u2060\ufeff", "''\"\"-- "
 
@@ -115,7 +115,12 @@ def is_wall(title: Column, text: Column) -> Column:
     hit = F.lit(False)
     for mark in WALL_MARKS:
         hit = hit | seen.contains(mark)
-    return (F.length(text) <= 2000) & hit
+    return (F.length(text) <= WALL_CHARS) & hit
+
+
+def is_long_enough(text: Column) -> Column:
+    """A page's text counts from 200 characters on."""
+    return F.length(text) >= LEAST_CHARS
 
 
 def percent(k: Column, n: Column) -> Column:
@@ -123,8 +128,8 @@ def percent(k: Column, n: Column) -> Column:
     return F.when(n == 0, F.format_string("%d of %d", k, n)).otherwise(F.format_string("%d of %d (%.0f%%)", k, n, F.bround(100.0 * k / n, 0)))
 
 
-def page_part(text: Column, offset: int, size: int = 40_000) -> Column:
+def page_part(text: Column, offset: int | Column, size: int = 40_000) -> Column:
     """A part of a page and, if there is more, where the next begins."""
-    at = max(0, offset)
+    at = F.greatest(F.lit(0), F.lit(offset) if isinstance(offset, int) else offset)
     more = F.length(text) > at + size
-    return F.struct(F.substring(text, at + 1, size).alias("part"), F.when(more, F.lit(at + size)).alias("next_offset"))
+    return F.struct(F.substring(text, at + 1, F.lit(size)).alias("part"), F.when(more, at + size).alias("next_offset"))

@@ -1,11 +1,12 @@
-"""Arrow UDFs over ``pytext``; a null text counts as empty."""
+"""Arrow UDFs over the plain functions; a null text counts as empty."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql.functions import udf
 
-from . import pytext as P
+from . import pages, pytext
+from .figures import figures as figures_of
 
 _FIGURES = "array<struct<value:string,kind:string>>"
 
@@ -20,36 +21,54 @@ def _of(fn, kind: str, once: bool = False):
     return call
 
 
-norm = _of(lambda s: P.norm(s or ""), "string")
-norm_lines = _of(lambda s: P.norm_lines(s or ""), "string")
-figures = _of(lambda s: P.figures(s or ""), _FIGURES)
-words = _of(lambda s: P.words(s or ""), "array<string>")
-quote_run = _of(lambda q: P.quote_run(q or ""), "array<string>")
-passage = _of(lambda q, s: P.passage(q or "", s or ""), "string")
-context = _of(lambda q, s: P.context(q or "", s or ""), "struct<before:string,between:string,after:string>")
-html_text = _of(lambda s: P.html_text(s or ""), "struct<title:string,text:string>")
-links = _of(lambda s, u: P.links(s or "", u or ""), "array<struct<url:string,words:string>>")
-passages = _of(lambda s, n: P.passages(s or "", n), "array<string>")
-specifics = _of(lambda s: P.specifics(s or ""), "array<struct<unit:int,kind:string,text:string,line:string,linked:boolean>>")
-units = _of(lambda s: len(P.units(s or "")), "int")
-person = _of(lambda s, a: P.person(s or "", a or ""), "string")
+norm = _of(lambda s: pytext.norm(s or ""), "string")
+norm_lines = _of(lambda s: pytext.norm_lines(s or ""), "string")
+figures = _of(lambda s: figures_of(s or ""), _FIGURES)
+words = _of(lambda s: pytext.words(s or ""), "array<string>")
+quote_run = _of(lambda q: pytext.quote_run(q or ""), "array<string>")
+passage = _of(lambda q, s: pytext.passage(q or "", s or ""), "string")
+context = _of(lambda q, s: pytext.context(q or "", s or ""), "struct<before:string,between:string,after:string>")
+html_text = _of(lambda s: pages.html_text(s or ""), "struct<title:string,text:string>")
+links = _of(lambda s, u: pages.links(s or "", u or ""), "array<struct<url:string,words:string>>")
+passages = _of(lambda s, n: pytext.passages(s or "", n), "array<string>")
+specifics = _of(lambda s: pytext.specifics(s or ""), "array<struct<unit:int,kind:string,text:string,line:string,linked:boolean>>")
+units = _of(lambda s: len(pytext.units(s or "")), "int")
+person = _of(lambda s, a: pytext.person(s or "", a or ""), "string")
+statements = _of(
+    lambda blocks: pytext.statements([(b["text"] or "", list(b["cited"] or ())) for b in blocks if b is not None] if blocks is not None else []),
+    "array<struct<text:string,quote:string,cited:boolean,citations:int>>",
+)
+near_lines = _of(lambda parts, lines: pytext.near_lines(list(parts), list(lines)) if parts is not None and len(parts) and lines is not None else None, "array<int>")
+breaks = _of(lambda s: list(pytext.breaks(s or "")), "array<int>")
+
+
+def _page(text, title, url):
+    """What the tests of any claim need of a page, made once for all of its claims."""
+    parts = pages.address_parts(url or "")
+    names = None if parts is None else parts[0] + pytext._WORD.findall(pytext.norm(parts[1]))
+    return pytext.norm_lines(text or ""), pytext.norm(title or ""), names
+
+
+page = _of(_page, "struct<page:string,title:string,address:array<string>>", once=True)
 
 FACTS = (
     f"struct<passage:string,claim_figures:{_FIGURES},quote_figures:{_FIGURES},passage_figures:{_FIGURES},subject_numbers:array<string>,"
-    "named:boolean,claim_n:string,quote_n:string,subject_n:string,title_n:string,address:array<string>>"
+    "named:boolean,claim_n:string,quote_n:string,subject_n:string>"
 )
 
 
-def _facts(text, quote, subject, title, page, url):
-    """All that one claim's tests need of its page, found in one pass. Without a page: nulls."""
-    if page is None:
+def _facts(text, quote, subject, title, seen):
+    """What one claim's tests need of itself and of its page (title and text in compared form). Without a page: nulls."""
+    if seen is None:
         return None
-    text, quote, subject, title = (x or "" for x in (text, quote, subject, title))
-    quote = quote.strip()
-    found = P.passage(quote, page)
-    named = P.norm(subject) in P.norm(f"{title} {page}")
-    folded = P.figures(found, True) if found else []
-    return (found, P.figures(text), P.figures(quote), folded, [v for v, _ in P.figures(subject)], named, P.norm(text), P.norm(quote), P.norm(subject), P.norm(title), P.address_names(url or ""))
+    quote = (quote or "").strip()
+    found = pytext.place_in(quote, seen)
+    subject_n = pytext.norm(subject or "")
+    flat = seen.replace("\n", " ")
+    named = subject_n in (f"{title} {flat}" if title else flat)
+    folded = figures_of(found.passage, True) if found else []
+    numbers = [value for value, _ in figures_of(subject or "")]
+    return found and found.passage, figures_of(text or ""), figures_of(quote), folded, numbers, named, pytext.norm(text or ""), pytext.norm(quote), subject_n
 
 
 facts = _of(_facts, FACTS, once=True)

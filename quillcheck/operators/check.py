@@ -12,14 +12,15 @@ from ..functions import udfs as U
 def check_claims(claims: DataFrame, evidence: DataFrame, min_overlap: float = 0.5, max_age_days: int | None = None, now: str | None = None) -> DataFrame:
     """One verdict per claim row, by position. Null texts count as empty; a page that is not there cuts.
 
-    The page is joined by its id (Spark broadcasts it when it is small and splits skewed pages when it
-    isn't); everything a claim's tests need of it is found by one Arrow UDF, and page texts go no further.
+    Pages are brought to compared form once, before they meet their claims by id (Spark broadcasts them when they are small and
+    splits skewed pages when they aren't); what a claim's tests need of its page is found by one Arrow UDF, and page texts go no further.
     """
-    pages = evidence.select(F.col("id").alias("e_id"), F.coalesce("text", F.lit("")).alias("e_text"), F.coalesce("title", F.lit("")).alias("e_title"), F.coalesce("url", F.lit("")).alias("e_url"), F.coalesce("fetched_at", F.lit("")).alias("e_at"))
+    pages = evidence.select(F.col("id").alias("e_id"), F.coalesce("url", F.lit("")).alias("e_url"), F.coalesce("fetched_at", F.lit("")).alias("e_at"), U.page("text", "title", "url").alias("p"))
+    pages = pages.select("e_id", "e_url", "e_at", F.col("p.page").alias("e_page"), F.col("p.title").alias("title_n"), F.col("p.address").alias("address"))
     c = claims.select("pos", F.coalesce("id", F.lit("")).alias("id"), *(F.coalesce(n, F.lit("")).alias(n) for n in ("text", "quote", "evidence_id", "subject")))
     joined = c.join(pages, c["evidence_id"] == pages["e_id"], "left")
-    facts = U.facts("text", "quote", "subject", "e_title", "e_text", "e_url")
-    f = joined.withColumn("f", facts).select("pos", "id", "evidence_id", "subject", "e_id", "e_url", "e_at", "f.*")
+    facts = U.facts("text", "quote", "subject", "title_n", "e_page")
+    f = joined.withColumn("f", facts).select("pos", "id", "evidence_id", "subject", "e_id", "e_url", "e_at", "title_n", "address", "f.*")
     reason, detail = ladder(min_overlap)
     f = f.withColumn("reason", reason)
     supported = F.col("reason") == "ok"
@@ -35,11 +36,16 @@ def missing_figures() -> Column:
     return F.transform(F.filter("claim_figures", lambda x: ~own(x) & lacks(x)), lambda x: x["value"])
 
 
+def within(subject_n: Column, names: Column) -> Column:
+    """Are all of a subject's names among some names?"""
+    return F.size(F.array_except(X.names_n(subject_n), names)) == 0
+
+
 def wrong_subject() -> Column:
-    subject = X.names_n(F.col("subject_n"))
+    """Is the subject neither that of the page (its title, its address) nor in the quote? One without a name always is."""
+    subject = F.col("subject_n")
     about = F.concat(X.names_n(F.col("title_n")), F.coalesce("address", F.array().cast("array<string>")))
-    within = lambda names: F.size(F.array_except(subject, names)) == 0
-    return (F.size(subject) == 0) | ~(within(about) | within(X.names_n(F.col("quote_n"))))
+    return (F.size(X.names_n(subject)) == 0) | ~(within(subject, about) | within(subject, X.names_n(F.col("quote_n"))))
 
 
 def ladder(min_overlap: float) -> tuple[Column, Column]:

@@ -49,9 +49,12 @@ def test_first_failing_test_is_the_reason(spark):
     assert got[0].match == "exact" and got[3].match is None
 
 
-def test_one_python_node_and_one_pass(spark):
+def test_one_python_node_for_claims_and_one_for_pages(spark):
+    """Pages are brought to compared form before they meet their claims, so once each; claims are read in one pass after that."""
     plan = verdicts(spark).where("supported")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1
+    assert plan.count("ArrowEvalPython") == 2
+    claims, pages = (i for i in range(len(plan)) if plan.startswith("ArrowEvalPython", i))
+    assert claims < plan.index("Join") < pages
 
 
 def test_stale_marks_and_never_cuts(spark):

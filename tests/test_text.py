@@ -5,9 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillcheck.functions import pages
 from quillcheck.functions import pytext as P
 from quillcheck.functions import textexpr as X
 from quillcheck.functions import udfs as U
+from quillcheck.functions.figures import figures
 
 
 @pytest.mark.parametrize(
@@ -31,11 +33,11 @@ from quillcheck.functions import udfs as U
     ],
 )
 def test_figures(text, want):
-    assert P.figures(text) == want
+    assert figures(text) == want
 
 
 def test_folded_text_reads_small_letters_as_scales():
-    assert P.figures("5m accounts", folded=True) == [("5000000", "")]
+    assert figures("5m accounts", folded=True) == [("5000000", "")]
 
 
 PAGE = "Basic\n$19 /seat\n4 users\nPlus\n$49 /seat\n\nThe suite costs $29 per month. It does not include calls, says Acme Inc. in a note. It has 1,200 clients."
@@ -73,13 +75,13 @@ def test_a_price_is_found_whole_or_not_at_all(units, cents):
     page = f"The plan costs {price} per seat. Nothing else is charged."
     assert P.passage(f"costs {price}", page)
     assert P.passage(f"costs ${units * 10}", page) is None
-    assert P.figures(price)[0][1] == "$"
+    assert figures(price)[0][1] == "$"
 
 
 def test_html():
-    title, text = P.html_text("<html><title>A &amp; B</title><svg><title>no</title></svg><script>var t='</p>'</script><p>One<br>two</p><td>c</td></html>")
+    title, text = pages.html_text("<html><title>A &amp; B</title><svg><title>no</title></svg><script>var t='</p>'</script><p>One<br>two</p><td>c</td></html>")
     assert (title, text) == ("A & B", "One\ntwo\n\nc")
-    assert P.links('<a href="/b#x">B <b>c</b></a><a href="mailto:x">m</a><a href="http://[bad">', "https://a.example/") == [("https://a.example/b", "B c")]
+    assert pages.links('<a href="/b#x">B <b>c</b></a><a href="mailto:x">m</a><a href="http://[bad">', "https://a.example/") == [("https://a.example/b", "B c")]
 
 
 def test_people():
