@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html as _html
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
@@ -23,7 +24,26 @@ def wide(rows: DataFrame) -> DataFrame:
     Large tables have more partitions than cores and stay as they are. For scans only: a plan with exchanges would run them.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    # The frame's own plan tells its partitions; nothing runs.
+    there = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows if there >= cores else rows.repartition(cores)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may run without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="quillcheck-")
+
+
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written out as Parquet under the shared folder and read back, so that nothing computes them again."""
+    path = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
@@ -97,12 +117,12 @@ def pages_from_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     is_html = F.lower("path").rlike(r"\.html?$") | F.ltrim("value").startswith("<")
     read = raw.withColumn("h", F.when(is_html, U.html_text("value")).otherwise(F.struct(F.lit("").alias("title"), F.trim("value").alias("text"))))
-    return read.select("path", "h.title", "h.text", (~X.is_wall(F.col("h.title"), F.col("h.text")) & (F.length("h.text") >= 200)).alias("usable"))
+    return read.select("path", "h.title", "h.text", (~X.is_wall(F.col("h.title"), F.col("h.text")) & X.is_long_enough(F.col("h.text"))).alias("usable"))
 
 
-def expected_runs(results: DataFrame, names: list[str]) -> DataFrame:
-    """name, result: "not run" where there is no result; absence is never taken for a figure."""
-    wanted = results.sparkSession.createDataFrame([(n,) for n in names], "name string")
+def expected_runs(results: DataFrame, names: list[str] | DataFrame) -> DataFrame:
+    """name, result: "not run" where there is no result; absence is never taken for a figure. ``names``: a list, or a table with a column name."""
+    wanted = names.select("name") if isinstance(names, DataFrame) else results.sparkSession.createDataFrame([(n,) for n in names], "name string")
     return wanted.join(results, "name", "left").select("name", F.coalesce("result", F.lit("not run")).alias("result"))
 
 
@@ -125,9 +145,9 @@ def html_page(title: str, rows: list[str]) -> str:
 
 
 def dedupe_first(rows: DataFrame, key: F.col, *order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in the given order, by an aggregate: a key with any number of rows sends one per task."""
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), F.struct(*order)).alias("row")
+    return rows.groupBy(key.alias("key")).agg(first).select("row.*")
 
 
 def read_corpus(spark: SparkSession, index: str, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillcheck.functions import pytext as P
+from quillcheck.functions.figures import figures
 from quillcheck.operators import audit, cards, metrics
 from quillcheck.sources import files, web
 
@@ -120,11 +121,11 @@ def test_trace_equals_brute_force(spark):
     content = lambda t: [w for w in P.norm(t).replace(".", " ").split() if w.isalpha()]
 
     def first(text, line):
-        own, wanted = content(line), {v for v, _ in P.figures(text)}
+        own, wanted = content(line), {v for v, _ in figures(text)}
         for _, url, page in sources:
             for p in P.passages(page, 2):
                 have = set(content(p))
-                if wanted <= {v for v, _ in P.figures(p)} and sum(w in have for w in own) >= 0.4 * len(own):
+                if wanted <= {v for v, _ in figures(p)} and sum(w in have for w in own) >= 0.4 * len(own):
                     return url
         return None
 
