@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
+from ..sources import files
 
 
 def specifics(texts: DataFrame) -> DataFrame:
@@ -26,19 +27,23 @@ def trace(found: DataFrame, sources: DataFrame, least: float = 0.4) -> DataFrame
     A line is looked up by its rarer content words alone: its most frequent ones, as long as they make up less than the
     share, cannot reach it without another. What meets is then tested exactly.
     """
-    keyed = found.withColumn("__id", F.xxhash64("doc", "unit", "kind", "text", "line"))
+    # A line's and a passage's names are digests of all they are, so that no two that differ share one.
+    name = lambda *cols: F.sha2(F.to_json(F.struct(*cols)), 256)
+    keyed = found.withColumn("__id", name("text", "line"))
     lines = keyed.select("__id", "text", "line").distinct().withColumn("figs", F.transform(U.figures("text"), lambda f: f["value"])).withColumn("cw", X.content_words_n(U.norm("line")))
+    lines = files.kept(lines.select("__id", "figs", "cw"), "traced-lines")
     runs = sources.select("seq", "url", F.explode(U.passages("text", F.lit(2))).alias("p"))
-    runs = runs.select("seq", "url", F.transform(U.figures("p"), lambda f: f["value"]).alias("nums"), X.content_words_n(U.norm("p")).alias("have")).withColumn("have", F.array_distinct("have"))
-    by_word = runs.withColumn("w", F.explode("have"))
+    runs = runs.select("seq", "url", name("seq", "url", "p").alias("run"), F.transform(U.figures("p"), lambda f: f["value"]).alias("nums"), F.array_distinct(X.content_words_n(U.norm("p"))).alias("have"))
+    runs = files.kept(runs.dropDuplicates(["run"]), "passages")
+    by_word = runs.select("run", F.explode("have").alias("w"))
     often = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("often"))
     words = lines.select("__id", F.size("cw").alias("size"), F.explode("cw").alias("w")).groupBy("__id", "size", "w").agg(F.count(F.lit(1)).alias("times"))
     common = Window.partitionBy("__id").orderBy(F.desc("often"), "w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = words.join(often, "w").withColumn("so_far", F.sum("times").over(common)).where(F.col("so_far") >= least * F.col("size"))
-    probe = lines.join(words.select("__id", "w"), "__id")
-    met = probe.join(by_word, "w").where(F.size(F.array_except("figs", "nums")) == 0)
+    # Only names meet here; what lines and passages say is fetched for the pairs that met.
+    met = words.select("__id", "w").join(by_word, "w").select("__id", "run").distinct().join(lines, "__id").join(runs, "run")
     share = F.size(F.filter("cw", lambda w: F.array_contains("have", w))) / F.size("cw")
-    best = met.where(share >= least).groupBy("__id").agg(F.min_by("url", "seq").alias("traced_to"))
+    best = met.where((F.size(F.array_except("figs", "nums")) == 0) & (share >= least)).groupBy("__id").agg(F.min_by("url", "seq").alias("traced_to"))
     return keyed.join(best, "__id", "left").drop("__id")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
-from ..schemas import PAGE_KINDS, REQUOTABLE
+from ..schemas import NO_PAGE, PAGE_KINDS, REQUOTABLE
 
 STRENGTH = ("they_win", "we_win")
 
@@ -92,7 +94,7 @@ def pick_pages(links: DataFrame, limit: int = 4) -> DataFrame:
     host, site = X.host(F.col("url")), X.host(F.col("home"))
     path = F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
     same = (host == site) | host.endswith(F.concat(F.lit("."), site))
-    file = F.lower(path).rlike(r"\.(css|gif|ico|jpe?g|js|mp4|pdf|png|rss|svg|webp|xml|zip)$")
+    file = F.lower(path).rlike(NO_PAGE)
     sub = F.when(host != site, F.element_at(F.split(host, r"\."), 1)).otherwise("")
     rows = links.where(same & ~file & (F.rtrim("url") != "") & (F.regexp_replace("url", "/+$", "") != F.regexp_replace("home", "/+$", "")))
     rows = rows.withColumn("k", _kind(path, sub)).where("k is not null")
@@ -148,6 +150,49 @@ def panel(verdicts: DataFrame, lines: DataFrame) -> DataFrame:
     return both.withColumn("text", text)
 
 
+def reasons_text(verdicts: DataFrame) -> DataFrame:
+    """One row, cut_by: the reasons of cut rows with their numbers, most frequent first, or "none"."""
+    by = verdicts.where(~F.col("supported")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    # A row for each reason there is.
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason", "n")))
+    text = F.array_join(F.transform(rows, lambda r: F.concat(r["n"].cast("string"), F.lit(" "), F.replace(r["reason"], F.lit("_"), F.lit(" ")))), ", ")
+    return by.agg(F.when(F.count(F.lit(1)) > 0, text).otherwise("none").alias("cut_by"))
+
+
+def brief_panel(verdicts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The counts that stand beside a brief, as one row with its text: signals (verdicts), and lines (section, kept) by section."""
+    v = verdicts.agg(F.count(F.lit(1)).alias("signals"), F.count_if("supported").alias("kept_signals"))
+    of = lambda section, kept: F.count_if((F.col("section") == section) & (F.col("kept") if kept else ~F.col("kept")))
+    n = lines.agg(*(of(s, k).alias(f"{s}_{'kept' if k else 'cut'}") for s in ("why_now", "message") for k in (True, False)))
+    row = v.join(n).join(reasons_text(verdicts))  # three rows of one
+    text = F.format_string(
+        "signals   %d of %d supported, %d cut (%s)\nwhy now   %d kept, %d cut\nmessage   %d kept, %d cut",
+        "kept_signals", "signals", F.col("signals") - F.col("kept_signals"), "cut_by", "why_now_kept", "why_now_cut", "message_kept", "message_cut",
+    )
+    return row.withColumn("text", text)
+
+
+def by_topic(facts: DataFrame, topics: list[str]) -> DataFrame:
+    """Supported facts (subject, topic, text and others) with ord, the place of their topic in a fixed order; other topics are left out."""
+    order = facts.sparkSession.createDataFrame(list(enumerate(topics)), "ord int, topic string")
+    return facts.where("supported").join(F.broadcast(order), "topic")
+
+
+def section_html(title: str, rows: list[dict]) -> str:
+    """A section of a card or brief: kept rows (text, quote, url), each with its receipt, then cut ones with their reason; all escaped."""
+    esc = lambda x: html.escape(str(x or ""))
+    kept = "".join(f'<li>{esc(r["text"])} <a href="{esc(r["url"])}">“{esc(r["quote"])}”</a></li>' for r in rows if r["supported"])
+    cut = "".join(f"<li><s>{esc(r['text'])}</s> {esc(r['reason'])}</li>" for r in rows if not r["supported"])
+    return f"<section><h2>{esc(title)}</h2><ul>{kept or '<li>none</li>'}</ul>{f'<details><ul>{cut}</ul></details>' if cut else ''}</section>"
+
+
+def brief_json(claims: DataFrame, verdicts: DataFrame, lines: DataFrame) -> DataFrame:
+    """JSON objects of a brief: a signal each, and a line each whose cites leave out the seller's own words; page texts stay out."""
+    own = F.filter("cites", lambda c: c != "you")
+    said = lines.select(F.col("line_id").alias("pos"), F.lit("line").alias("what"), F.to_json(F.struct("section", "text", own.alias("cites"), "kept", "reason")).alias("value"))
+    return card_json(claims, verdicts).select("pos", F.lit("signal").alias("what"), "value").unionByName(said)
+
+
 def card_json(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One JSON object per fact, kept or cut, with its reason; page texts stay out."""
     v = verdicts.select("pos", "supported", "reason", "detail", "url")

@@ -7,7 +7,10 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+#: Pages whose draws the driver makes; of 2000 draws that is 4 million numbers.
+MOST_PAGES = 2000
 ARMS = ("keep_all", "quote_on_page", "code_only", "reader_only", "both")
 _Z = 1.96
 
@@ -29,8 +32,17 @@ def kappa(x: Column, y: Column) -> Column:
     return F.when(chance == 1, 1.0).otherwise((same - chance) / (1 - chance))
 
 
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, **q: float) -> DataFrame:
+    """Percentiles by nearest rank of each group, a column for each of ``q``: from a count of each value and a running sum."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    up_to = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = counts.withColumn("__up_to", up_to).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    at = lambda share: F.least(F.greatest(F.bround(F.lit(share) * (F.col("__all") - 1), 0), F.lit(0)), F.col("__all") - 1)
+    return running.groupBy(*by).agg(*(F.min(F.when(F.col("__up_to") > at(share), F.col(value))).alias(name) for name, share in q.items()))
+
+
 def nearest_rank(x: Column, q: float) -> Column:
-    """The q-th percentile by nearest rank, as an aggregate of a bounded number of values (draws, groups)."""
+    """The q-th percentile by nearest rank, as an aggregate of a bounded number of values, as draws are; of rows, ``nearest_ranks``."""
     values = F.array_sort(F.collect_list(x))
     at = F.bround(F.lit(q) * (F.size(values) - 1), 0).cast("int")
     return F.when(F.size(values) > 0, F.get(values, F.least(F.greatest(at, F.lit(0)), F.size(values) - 1)))
@@ -58,24 +70,41 @@ def retention(armed: DataFrame, truth: str, by: list[str] | None = None) -> Data
 
 def breakdown(armed: DataFrame, truth: str, columns: list[str]) -> DataFrame:
     """Errors of an arm by each column alone and in all, in one pass."""
-    armed.createOrReplaceTempView("__armed")
-    sets = ", ".join(f"(arm, {c})" for c in columns)
-    cols = ", ".join(columns)
-    return armed.sparkSession.sql(f"SELECT arm, {cols}, count_if(kept AND NOT `{truth}`) AS wrong, count_if(kept) AS delivered FROM __armed GROUP BY GROUPING SETS ({sets}, (arm))")
+    sets = [[F.col("arm"), F.col(c)] for c in columns] + [[F.col("arm")]]
+    bad = F.col("kept") & ~F.col(truth)
+    grouped = armed.groupingSets(sets, F.col("arm"), *map(F.col, columns))
+    return grouped.agg(F.count_if(bad).alias("wrong"), F.count_if("kept").alias("delivered"))
+
+
+def drawn_pages(sums: DataFrame, resamples: int, seed: int, most: int = MOST_PAGES) -> DataFrame:
+    """rep, page, n: how often each draw of as many pages as there are, with replacement, has each page of ``sums``.
+
+    Up to ``most`` pages are drawn by Python's generator, whose draws are known; more by a seeded hash, where the pages are.
+    """
+    spark = sums.sparkSession
+    ids = sorted(r.page for r in sums.select("page").limit(most + 1).collect())
+    if len(ids) <= most:
+        rng = random.Random(seed)
+        drawn = [(rep, p, n) for rep in range(resamples) for p, n in Counter(rng.choices(ids, k=len(ids))).items()] if ids else []
+        return spark.createDataFrame(drawn, "rep int, page string, n int")
+    stretch = Window.partitionBy("part").orderBy("page")
+    parts = sums.select("page", F.pmod(F.xxhash64("page"), F.lit(1024)).alias("part")).withColumn("own", F.row_number().over(stretch) - 1)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    first = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = parts.join(sizes.select("part", first.alias("first")), "part").select("page", (F.col("first") + F.col("own")).alias("at"))
+    n = sums.count()
+    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).cast("int").alias("rep"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("at"))
+    counts = draws.groupBy("rep", "at").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counts.join(named, "at").select("rep", "page", "n")
 
 
 def bootstrap(rows: DataFrame, page: str, top: Column, bottom: Column, resamples: int = 2000, seed: int = 11) -> DataFrame:
     """low, high: the 95% interval of sum(top) / sum(bottom) over draws of whole pages with replacement.
 
-    Rows are summed by page first; the draws' counts are then joined to those sums. Draws are those of
-    Python's generator, so pages must be few enough for the driver (resamples times pages numbers).
+    Rows are summed by page first; the draws' counts are then joined to those sums.
     """
-    spark = rows.sparkSession
     sums = rows.groupBy(F.col(page).cast("string").alias("page")).agg(F.sum(top.cast("long")).alias("t"), F.sum(bottom.cast("long")).alias("b"))
-    ids = sorted(r.page for r in sums.select("page").collect())
-    rng = random.Random(seed)
-    drawn = [(rep, p, n) for rep in range(resamples) for p, n in Counter(rng.choices(ids, k=len(ids))).items()] if ids else []
-    draws = spark.createDataFrame(drawn, "rep int, page string, n int")
+    draws = drawn_pages(sums, resamples, seed)
     stat = draws.join(sums, "page").groupBy("rep").agg(F.try_divide(F.sum(F.col("n") * F.col("t")), F.sum(F.col("n") * F.col("b"))).alias("v")).where("v is not null")
     return stat.agg(F.bround(nearest_rank(F.col("v"), 0.025), 4).alias("low"), F.bround(nearest_rank(F.col("v"), 0.975), 4).alias("high"))
 
@@ -137,15 +166,11 @@ def difference(armed: DataFrame, truth: str, page: str, more: str = "both", less
     The bar is met if the rate of ``more`` is at most half that of ``less`` and the whole interval is below 0; with fewer
     than ``enough`` wrong in ``less`` nothing is measurable.
     """
-    spark = armed.sparkSession
     n = lambda arm, bad: F.count_if((F.col("arm") == arm) & F.col("kept") & (~F.col(truth) if bad else F.lit(True)))
     names = {"more_wrong": n(more, True), "more_of": n(more, False), "less_wrong": n(less, True), "less_of": n(less, False)}
     sums = armed.groupBy(F.col(page).cast("string").alias("page")).agg(*(c.alias(k) for k, c in names.items()))
-    ids = sorted(r.page for r in sums.select("page").collect())
-    rng = random.Random(seed)
-    drawn = [(rep, p, k) for rep in range(resamples) for p, k in Counter(rng.choices(ids, k=len(ids))).items()] if ids else []
     gap = F.try_divide("more_wrong", "more_of") - F.try_divide("less_wrong", "less_of")
-    drawn_sums = spark.createDataFrame(drawn, "rep int, page string, n int").join(sums, "page").groupBy("rep").agg(*(F.sum(F.col("n") * F.col(k)).alias(k) for k in names))
+    drawn_sums = drawn_pages(sums, resamples, seed).join(sums, "page").groupBy("rep").agg(*(F.sum(F.col("n") * F.col(k)).alias(k) for k in names))
     interval = drawn_sums.select(gap.alias("v")).where("v is not null").agg(F.bround(nearest_rank(F.col("v"), 0.025), 4).alias("low"), F.bround(nearest_rank(F.col("v"), 0.975), 4).alias("high"))
     total = sums.agg(*(F.sum(k).alias(k) for k in names)).withColumn("difference", F.bround(gap, 4))
     halves = F.try_divide("more_wrong", "more_of") <= F.try_divide("less_wrong", "less_of") / 2

@@ -12,10 +12,21 @@ from ..functions.textexpr import as_data
 
 
 def batches(standing: DataFrame, size: int = 10, page: str | None = "evidence_id") -> DataFrame:
-    """Claims with batch and n (from 1): at most ``size`` to a batch, and only one page's. Numbered by pos within the page."""
-    w = Window.partitionBy(*([page] if page else [])).orderBy("pos")
-    at = F.row_number().over(w) - 1
-    return standing.withColumn("batch", F.floor(at / size)).withColumn("n", (at % size + 1).cast("int"))
+    """Claims with batch and n (from 1): at most ``size`` to a batch, and only one page's. Numbered by pos within the page.
+
+    Without ``page``, all are numbered by pos as one run: in stretches of positions, each of which begins where those before it end,
+    so that no task numbers them all.
+    """
+    if page:
+        at = F.row_number().over(Window.partitionBy(page).orderBy("pos")) - 1
+        return standing.withColumn("batch", F.floor(at / size)).withColumn("n", (at % size + 1).cast("int"))
+    rows = standing.withColumn("__stretch", F.floor(F.col("pos") / 65_536))
+    # One row for each stretch.
+    sizes = rows.groupBy("__stretch").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__stretch").orderBy("pos")) - 1
+    rows = rows.withColumn("__own", own).join(sizes.select("__stretch", before.alias("__before")), "__stretch").withColumn("__at", F.col("__before") + F.col("__own"))
+    return rows.select(*standing.columns, F.floor(F.col("__at") / size).alias("batch"), (F.col("__at") % size + 1).cast("int").alias("n"))
 
 
 def prompts(batched: DataFrame) -> DataFrame:

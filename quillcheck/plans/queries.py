@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import random
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
-from ..operators import audit, cards, check, metrics, reader
-from ..schemas import STOP, WALL_MARKS
+from ..operators import audit, cards, check, metrics, reader, study
+from ..schemas import ABBREVIATIONS, STOP, WALL_MARKS
 from ..sources import files, web
 from ..streaming import verdicts as streams
 
@@ -181,6 +178,22 @@ def figures_extracted(spark, sf_dir):
     return f.select("l_orderkey", "l_linenumber", F.col("f")[0]["value"].alias("price"), F.col("f")[0]["kind"].alias("price_kind"), F.col("f")[1]["value"].alias("discount"), F.col("f")[1]["kind"].alias("discount_kind"))
 
 
+_SPELLED = ("two hundred and six", "forty-two", "one thousand", "ninety", "three million", "twelve", "seventeen")
+_SPELLED_SQL = "['206', '42', '1000', '90', '3000000', '12', '17'][CAST((l_linenumber - 1) % 7 + 1 AS INT)]"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CAST(n AS VARCHAR) || '% ' || CAST(n + 5 AS VARCHAR) || '% ' || CAST(n * 1000000 AS VARCHAR) || ' ' || CAST((n + 1) * 1000000 AS VARCHAR) || ' ' || CAST(n * 1000 AS VARCHAR) || '$ 0.5% ' || CAST(n AS VARCHAR) || ' ' || {_SPELLED_SQL} AS said
+    FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS n FROM lineitem)""")
+def figures_written(spark, sf_dir):
+    """Ranges that share a kind or a scale, scale letters, decimals without a zero, a letter that is no scale, numbers in words."""
+    n = F.col("l_quantity").cast("int")
+    t = lambda x: x.cast("string")
+    words = F.array(*map(F.lit, _SPELLED))[((F.col("l_linenumber") - 1) % 7).cast("int")]
+    text = F.concat(F.lit("It grew "), t(n), F.lit("-"), t(n + 5), F.lit("%, to "), t(n), F.lit(" to "), t(n + 1), F.lit(" million, for $"), t(n), F.lit("k and .5%, in version 1.2.3, "), t(n), F.lit("m away, with "), words, F.lit(" seats."))
+    said = F.transform(U.figures(text), lambda f: F.concat(f["value"], f["kind"]))
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").select("l_orderkey", "l_linenumber", F.array_join(said, " ").alias("said"))
+
+
 # Ledgers
 
 
@@ -216,9 +229,13 @@ def ledger_hash_reject(spark, sf_dir):
     return pages.groupBy(files.hash_fits().alias("fits")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, left(text, 40000) AS part, CASE WHEN length(text) > 40000 THEN 40000 END AS next_offset FROM documents")
+@query("""SELECT doc_id, o AS "offset", substr(text, o + 1, 40000) AS part, CASE WHEN length(text) > o + 40000 THEN o + 40000 END AS next_offset
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(1, length(text)), 40000)) AS o FROM documents)""")
 def page_part(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.page_part(F.col("text"), 0).alias("p")).select("doc_id", "p.part", "p.next_offset")
+    """Every part of every document, one after another."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(40_000))).alias("offset")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", at)
+    return rows.select("doc_id", F.col("offset").cast("long").alias("offset"), X.page_part(F.col("text"), F.col("offset")).alias("p")).select("doc_id", "offset", "p.part", F.col("p.next_offset").cast("long").alias("next_offset"))
 
 
 # Pages
@@ -239,9 +256,14 @@ def page_links_of(spark, sf_dir):
     return found.select("page_id", "home", "pos", "l.url", "l.words")
 
 
-@query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) FROM pages) GROUP BY 1")
+_LINK_SQL = "'<a\\s[^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>'"
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_extract_all(html, {_LINK_SQL}, 1) AS h, regexp_extract_all(html, {_LINK_SQL}, 2) AS w FROM pages),
+    r AS (SELECT page_id, site, unnest(h) AS h, unnest(w) AS w, generate_subscripts(h, 1) AS i FROM l)
+    SELECT page_id, CAST(i - 1 AS INT) AS pos, site || h AS url, replace(replace(replace(trim(regexp_replace(w, '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS words FROM r""")
 def page_links(spark, sf_dir):
-    return page_links_of(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    return page_links_of(spark, sf_dir).drop("home")
 
 
 @query("""SELECT s_suppkey AS page_id, unnest(['news', 'careers', 'about'] || CASE WHEN s_suppkey % 2 = 0 THEN ['customers'] ELSE [] END) AS kind,
@@ -263,7 +285,8 @@ def wall_pages(spark, sf_dir):
 
 @query("SELECT source, count(*) FILTER (length(text) >= 200) AS usable, count(*) FILTER (length(text) < 200) AS thin FROM documents GROUP BY 1")
 def thin_pages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.length("text") >= 200).alias("usable"), F.count_if(F.length("text") < 200).alias("thin"))
+    usable = X.is_long_enough(F.col("text"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(usable).alias("usable"), F.count_if(~usable).alias("thin"))
 
 
 _HOST_SQL = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)), '^www\\.', '')"
@@ -318,11 +341,21 @@ def polarity_flags(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", X.polarity_mismatch_n(X.norm_composed(a), X.norm_composed(b)).alias("mismatch"))
 
 
-@query("SELECT p_partkey, list_has_all(regexp_extract_all(lower(p_name), '[a-z0-9]+'), regexp_extract_all(lower(p_brand), '[a-z0-9]+')) AS by_name, true AS by_both FROM part")
+_NAMES_SQL = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_SUBJECT_SQL = "CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN split_part(p_name, ' ', 1) ELSE p_brand || ' ' || split_part(p_name, ' ', 1) END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_NAMES_SQL.format(_SUBJECT_SQL)} AS s, {_NAMES_SQL.format('p_name')} AS a, {_NAMES_SQL.format('p_brand')} AS q FROM part)
+    SELECT p_partkey, list_has_all(a, s) AS by_title, list_has_all(q, s) AS by_quote, NOT (list_has_all(a, s) OR list_has_all(q, s)) AS wrong FROM p""")
 def subject_match(spark, sf_dir):
-    n = lambda c: X.names_n(X.norm_composed(F.col(c)))
-    within = lambda a, b: F.size(F.array_except(a, b)) == 0
-    return table(spark, sf_dir, "part").select("p_partkey", within(n("p_brand"), n("p_name")).alias("by_name"), within(n("p_brand"), F.concat(n("p_name"), n("p_brand"))).alias("by_both"))
+    """Subjects that the title has, that the quote has, and that only both together have, which is not enough."""
+    c = F.col("p_partkey") % 3
+    first = F.split("p_name", " ")[0]
+    subject = F.when(c == 0, F.col("p_brand")).when(c == 1, first).otherwise(F.concat("p_brand", F.lit(" "), first))
+    n = X.norm_composed
+    rows = table(spark, sf_dir, "part").select("p_partkey", n(subject).alias("subject_n"), n(F.col("p_name")).alias("title_n"), n(F.col("p_brand")).alias("quote_n"), F.array().cast("array<string>").alias("address"))
+    by = lambda c: check.within(F.col("subject_n"), X.names_n(F.col(c)))
+    return rows.select("p_partkey", by("title_n").alias("by_title"), by("quote_n").alias("by_quote"), check.wrong_subject().alias("wrong"))
 
 
 # Audit
@@ -440,7 +473,7 @@ def wilson_by_source(spark, sf_dir):
 
 @query(f"{_L}, s AS (SELECT lang, list_sort(list(n_chars)) AS x FROM l GROUP BY 1) SELECT lang, x[1 + CAST(round_even(0.025 * (len(x) - 1), 0) AS INT)] AS low, x[1 + CAST(round_even(0.975 * (len(x) - 1), 0) AS INT)] AS high FROM s")
 def nearest_rank_pct(spark, sf_dir):
-    return labelled(spark, sf_dir).groupBy("lang").agg(metrics.nearest_rank(F.col("n_chars"), 0.025).alias("low"), metrics.nearest_rank(F.col("n_chars"), 0.975).alias("high"))
+    return metrics.nearest_ranks(labelled(spark, sf_dir), ["lang"], "n_chars", low=0.025, high=0.975)
 
 
 @query()
@@ -495,20 +528,55 @@ def strict_lenient_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("doc_id", strict.alias("strict"), lenient.alias("lenient"))
 
 
-@query("SELECT doc_id FROM labels WHERE quality <> toxic UNION ALL SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = toxic ORDER BY sha256('11' || doc_id), doc_id LIMIT 50)")
-def to_settle(spark, sf_dir):
-    """All labels that differ, and fifty of those that agree, drawn by a seeded hash."""
+# Two labellers of each labelled document: the second differs on every ninth about the first question and on every seventh about the other.
+_TWO = """WITH b AS (SELECT doc_id, quality = 1 AS p1, (quality = 1) <> (doc_id % 9 = 0) AS p2, toxic = 1 AS q1, (toxic = 1) <> (doc_id % 7 = 0) AS q2 FROM labels),
+    m AS (SELECT *, p1 <> p2 OR q1 <> q2 OR NOT p1 OR NOT p2 AS must FROM b),
+    s AS (SELECT doc_id, 'disputed' AS why FROM m WHERE must UNION ALL (SELECT doc_id, 'sampled' FROM m WHERE NOT must ORDER BY sha256('11' || doc_id), doc_id LIMIT 50)),
+    o AS (SELECT m.*, why, CASE WHEN why IS NOT NULL THEN p1 <> (doc_id % 40 = 0) END AS own_p, CASE WHEN why IS NOT NULL THEN q2 END AS own_q FROM m LEFT JOIN s USING (doc_id))"""
+
+
+def two_labellers(spark, sf_dir):
     l = table(spark, sf_dir, "labels")  # noqa: E741
-    agreed = l.where("quality = toxic").orderBy(F.sha2(F.concat(F.lit("11"), F.col("doc_id").cast("string")), 256), "doc_id").limit(50)
-    return l.where("quality <> toxic").select("doc_id").unionByName(agreed.select("doc_id"))
+    page, quote = F.col("quality") == 1, F.col("toxic") == 1
+    one = l.select("doc_id", page.alias("page_states"), quote.alias("quote_states"))
+    two = l.select("doc_id", (page != (F.col("doc_id") % 9 == 0)).alias("page_states"), (quote != (F.col("doc_id") % 7 == 0)).alias("quote_states"))
+    return study.two_labellers(l, one, two, "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS label FROM labels")
+def settled(spark, sf_dir):
+    """What was to be settled, and a person's labels of it."""
+    both = two_labellers(spark, sf_dir)
+    settling = files.kept(study.to_settle(both, "doc_id"), "to-settle")
+    own = both.join(settling, "doc_id").select("doc_id", (F.col("one_page_states") != (F.col("doc_id") % 40 == 0)).alias("page_states"), F.col("two_quote_states").alias("quote_states"))
+    return both, settling, own
+
+
+@query(f"{_TWO} SELECT doc_id, why FROM s")
+def to_settle(spark, sf_dir):
+    """All labels that differ or say the page states nothing, and fifty of the others, drawn by a seeded hash."""
+    return study.to_settle(two_labellers(spark, sf_dir), "doc_id")
+
+
+@query(f"{_TWO} SELECT doc_id, coalesce(own_p, p1) AS page_states, coalesce(own_q, q1) AS quote_states FROM o")
 def label_merge(spark, sf_dir):
     """A person's label stands in for the agreed one."""
-    l = table(spark, sf_dir, "labels")  # noqa: E741
-    person = l.where("doc_id % 9 = 0").select("doc_id", (1 - F.col("quality")).alias("own"))
-    return l.join(person, "doc_id", "left").select("doc_id", F.coalesce("own", "quality").alias("label"))
+    both, _, own = settled(spark, sf_dir)
+    return study.final_labels(both, own, key="doc_id")
+
+
+_KAPPA_SQL = "round(CASE WHEN avg({0}::INT) * avg({1}::INT) + (1 - avg({0}::INT)) * (1 - avg({1}::INT)) = 1 THEN 1 ELSE (avg(({0} = {1})::INT) - (avg({0}::INT) * avg({1}::INT) + (1 - avg({0}::INT)) * (1 - avg({1}::INT)))) / (1 - (avg({0}::INT) * avg({1}::INT) + (1 - avg({0}::INT)) * (1 - avg({1}::INT)))) END, 3)"
+
+
+@query(f"""{_TWO}, c AS (SELECT count(*) AS claims, count(*) FILTER (why = 'disputed') AS disputed, count(*) FILTER (why = 'sampled') AS sampled, count(*) FILTER (why = 'sampled' AND (own_p <> p1 OR own_q <> q1)) AS overturned,
+    bool_and(own_p IS NOT NULL) AS all_read, count(*) FILTER (p1 = p2) AS page_states_agree, {_KAPPA_SQL.format('p1', 'p2')} AS page_states_kappa, count(*) FILTER (q1 = q2) AS quote_states_agree, {_KAPPA_SQL.format('q1', 'q2')} AS quote_states_kappa FROM o)
+    SELECT *, overturned <= 5 OR all_read AS stands FROM c""")
+def label_stats(spark, sf_dir):
+    return study.label_stats(*settled(spark, sf_dir), key="doc_id")
+
+
+@query(f"{_TWO} SELECT doc_id, p1 AND p2 AS strict_page_states, p1 OR p2 AS lenient_page_states, q1 AND q2 AS strict_quote_states, q1 OR q2 AS lenient_quote_states FROM b")
+def label_bounds(spark, sf_dir):
+    return study.bounds(two_labellers(spark, sf_dir), "doc_id")
 
 
 @query()
@@ -586,8 +654,9 @@ def requote_merge(spark, sf_dir):
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_norm_sql('text')}")
 def dedupe_facts(spark, sf_dir):
-    """The first of each text in compared form, by an aggregate: a text of any number of copies sends one row per task."""
-    return table(spark, sf_dir, "documents").groupBy(F.sha2(X.norm_composed(F.col("text")), 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """The first of each text in compared form."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.norm_composed(F.col("text")), 256).alias("n"))
+    return files.dedupe_first(rows, F.col("n"), "doc_id").select("doc_id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Jane Doe' WHEN c_custkey % 4 = 1 THEN 'Maria Lopez-Garcia' END AS person FROM customer")
@@ -629,19 +698,23 @@ def card_panel(spark, sf_dir):
 # Joins and sets as relations
 
 
-_BREAKS = "list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) IN ('.', chr(10)))"
+_LINES_SQL = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_norm_sql('x')}), lambda x: x <> ''), chr(10))"
+_ABBREVIATIONS_SQL = "[" + ", ".join(f"'{w}'" for w in ABBREVIATIONS) + "]"
+_BEFORE_SQL = "regexp_extract(substr(p, greatest(1, i - 40), least(40, i - 1)), '(\\p{L}+(?:\\.\\p{L}+)*)$', 1)"
 
 
-@query(f"SELECT doc_id, list_max(list_filter(b, lambda x: x <= m)) AS before, list_min(list_filter(b, lambda x: x >= m)) AS after FROM (SELECT doc_id, {_BREAKS} AS b, length(text) // 2 AS m FROM documents)")
+@query(f"""WITH d AS (SELECT doc_id, {_LINES_SQL} AS p FROM documents),
+    c AS (SELECT doc_id, p, list_filter(range(1, length(p) + 1), lambda i: (substr(p, i, 1) = chr(10) AND (i = 1 OR substr(p, i - 1, 1) NOT IN ('.', '!', '?'))) OR (substr(p, i, 1) IN ('.', '!', '?') AND substr(p, i + 1, 1) IN (' ', chr(10)))) AS marks FROM d),
+    u AS (SELECT doc_id, p, unnest(marks) AS i FROM c),
+    b AS (SELECT doc_id, p, i, substr(p, i, 1) = '.' AS stop, {_BEFORE_SQL} AS w FROM u),
+    k AS (SELECT doc_id, i, length(p) // 2 AS m FROM b WHERE NOT (stop AND (list_contains({_ABBREVIATIONS_SQL}, w) OR (w <> '' AND length(regexp_extract(w, '([^.]*)$', 1)) = 1)))),
+    f AS (SELECT doc_id, CAST(max(i) FILTER (i <= m) AS INT) AS before, CAST(min(i) FILTER (i >= m) AS INT) AS after FROM k GROUP BY 1)
+    SELECT d.doc_id, before, after FROM d LEFT JOIN f USING (doc_id)""")
 def near_break_asof(spark, sf_dir):
-    """The breaks next to the middle of each document, backward and forward."""
-    t = table(spark, sf_dir, "documents").withColumn("m", F.floor(F.length("text") / 2))
-    parts = F.regexp_extract_all("text", F.lit(r"([^.\n]+(?:[.\n]|\z)|[.\n])"), 1)
-    rows = t.select("doc_id", "m", F.posexplode(parts).alias("i", "s"))
-    at = F.sum(F.length("s")).over(Window.partitionBy("doc_id", "m").orderBy("i"))
-    rows = rows.withColumn("at", at).where(F.col("s").rlike(r"[.\n]\z"))
-    found = rows.groupBy("doc_id").agg(F.max(F.when(F.col("at") <= F.col("m"), F.col("at"))).alias("before"), F.min(F.when(F.col("at") >= F.col("m"), F.col("at"))).alias("after"))
-    return t.select("doc_id").join(found, "doc_id", "left")
+    """The ends of sentences or lines next to the middle of each document in compared form, backward and forward."""
+    pages = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", U.norm_lines("text").alias("p"))
+    ends = pages.select("doc_id", F.floor(F.length("p") / 2).alias("m"), U.breaks("p").alias("b"))
+    return ends.select("doc_id", F.array_max(F.filter("b", lambda x: x <= F.col("m"))).alias("before"), F.array_min(F.filter("b", lambda x: x >= F.col("m"))).alias("after"))
 
 
 @query("SELECT a.l_orderkey, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber + 1 AND a.l_linenumber + 12 GROUP BY 1")
@@ -652,11 +725,22 @@ def table_band_join(spark, sf_dir):
     return l.join(r, near).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("SELECT 'shared' AS origin, item_id AS id, CAST(NULL AS VARCHAR) AS lang FROM benchmark UNION ALL SELECT 'citations', doc_id, lang FROM documents")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 20 <= 11 THEN [0, CAST(o_orderkey % 20 AS INT) + 1] END AS places FROM orders""")
+def table_lines_found(spark, sf_dir):
+    """A name and its price as lines of a page with more and more lines between; the last part begins its line."""
+    k = F.col("o_orderkey").cast("string")
+    between = F.transform(F.sequence(F.lit(1), F.greatest(F.col("o_orderkey") % 20, F.lit(1))), lambda i: F.concat(F.lit("- filler "), i.cast("string")))
+    between = F.when(F.col("o_orderkey") % 20 == 0, F.array().cast("array<string>")).otherwise(between)
+    lines = F.concat(F.array(F.concat(F.lit("name "), k)), between, F.array(F.concat(F.lit("price "), k, F.lit(" usd"))))
+    parts = F.array(F.concat(F.lit("name "), k), F.concat(F.lit("price "), k))
+    return table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", U.near_lines(parts, lines).alias("places"))
+
+
+@query("SELECT 'shared' AS arm_set, item_id AS id, CAST(NULL AS VARCHAR) AS lang FROM benchmark UNION ALL SELECT 'citations', doc_id, lang FROM documents")
 def union_arms(spark, sf_dir):
-    a = table(spark, sf_dir, "benchmark").select(F.lit("shared").alias("origin"), F.col("item_id").alias("id"))
-    b = table(spark, sf_dir, "documents").select(F.lit("citations").alias("origin"), F.col("doc_id").alias("id"), "lang")
-    return a.unionByName(b, allowMissingColumns=True)
+    a = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return study.all_claims(a, b)
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -666,9 +750,8 @@ def planted_minus_plain(spark, sf_dir):
 
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'done' ELSE 'not run' END AS result FROM nation")
 def runs_not_run(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    done = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.lit("done").alias("result"))
-    return n.select(F.col("n_name").alias("name")).join(done, "name", "left").select("name", F.coalesce("result", F.lit("not run")).alias("result"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    return files.expected_runs(n.where("n_nationkey % 2 = 0").select("name", F.lit("done").alias("result")), n)
 
 
 # Stream (an extension)
@@ -679,8 +762,4 @@ def stream_verdict_windows(spark, sf_dir):
     """Event types stand for reasons; the stream of files is read to its end and its final counts are returned."""
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     counted = streams.verdict_windows(rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("reason")), late="3650 days")
-    name = f"verdicts_{random.randrange(10**9)}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillcheck-stream-")
-    running = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    return streams.to_the_end(counted, "verdicts")
