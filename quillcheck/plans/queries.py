@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import textexpr as X
 from ..functions import udfs as U
 from ..operators import audit, cards, check, metrics, reader, study
-from ..schemas import ABBREVIATIONS, STOP, WALL_MARKS
+from ..schemas import ABBREVIATIONS, HIDDEN_TAGS, LINE_TAGS, STOP, WALL_MARKS
 from ..sources import files, web
 from ..streaming import verdicts as streams
 
@@ -246,7 +247,21 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", U.html_text("html")["title"].alias("title"))
 
 
-@query()
+_BARE = "html"
+for _pattern, _by in (
+    ("(?s)<!--.*?-->", ""),
+    ("(?s)<title[^>]*>.*?</title>", ""),
+    *((f"(?s)<{_t}[^>]*>.*?</{_t}>", "") for _t in HIDDEN_TAGS),
+    (f"</?(?:{'|'.join(LINE_TAGS)})(?:\\s[^>]*)?/?>", "' || chr(10) || '"),
+    ("(?s)<[^>]*>", ""),
+):
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', '{_by}', 'g')"
+for _name, _sign in (("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("nbsp", "\u00a0"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_sign}')"
+
+
+@query(f"""WITH l AS (SELECT page_id, array_to_string(list_transform(string_split({_BARE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'), ' ' || chr(160))), chr(10)) AS t FROM pages)
+    SELECT page_id, CAST(length(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS INT) AS chars FROM l""")
 def html_text_length(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.length(U.html_text("html")["text"]).alias("chars"))
 
@@ -476,7 +491,15 @@ def nearest_rank_pct(spark, sf_dir):
     return metrics.nearest_ranks(labelled(spark, sf_dir), ["lang"], "n_chars", low=0.025, high=0.975)
 
 
-@query()
+# The draws of Python's generator over the twenty sources, by the place of each in their order, as they are in ``metrics.drawn_pages``.
+_RNG = random.Random(11)
+_DRAWS = str([_RNG.choices(range(20), k=20) for _ in range(2000)]).replace(" ", "")
+_DRAWN = f"d AS (SELECT rep, unnest(draw) AS i FROM (SELECT unnest(draws) AS draw, generate_subscripts(draws, 1) AS rep FROM (SELECT '{_DRAWS}'::INT[][] AS draws)))"
+_INTERVAL = "round_even(x[1 + CAST(round_even(0.025 * (len(x) - 1), 0) AS INT)], 4) AS low, round_even(x[1 + CAST(round_even(0.975 * (len(x) - 1), 0) AS INT)], 4) AS high"
+
+
+@query(f"""{_L}, s AS (SELECT source, count(*) FILTER (kept AND NOT true_) AS t, count(*) FILTER (kept) AS b, row_number() OVER (ORDER BY source) - 1 AS i FROM a WHERE arm = 'both' GROUP BY 1), {_DRAWN},
+    v AS (SELECT rep, sum(t) / nullif(sum(b), 0) AS v FROM d JOIN s USING (i) GROUP BY 1), x AS (SELECT list_sort(list(v) FILTER (v IS NOT NULL)) AS x FROM v) SELECT {_INTERVAL} FROM x""")
 def bootstrap_interval(spark, sf_dir):
     both = metrics.arms(labelled(spark, sf_dir)).where("arm = 'both'")
     return metrics.bootstrap(both, "source", F.when(F.col("kept") & ~F.col("true"), 1).otherwise(0), F.when(F.col("kept"), 1).otherwise(0))
@@ -579,7 +602,10 @@ def label_bounds(spark, sf_dir):
     return study.bounds(two_labellers(spark, sf_dir), "doc_id")
 
 
-@query()
+@query(f"""{_L}, s AS (SELECT source, count(*) FILTER (arm = 'both' AND kept AND NOT true_) AS mw, count(*) FILTER (arm = 'both' AND kept) AS mo, count(*) FILTER (arm = 'keep_all' AND kept AND NOT true_) AS lw, count(*) FILTER (arm = 'keep_all' AND kept) AS lo, row_number() OVER (ORDER BY source) - 1 AS i FROM a GROUP BY 1), {_DRAWN},
+    v AS (SELECT rep, sum(mw) / nullif(sum(mo), 0) - sum(lw) / nullif(sum(lo), 0) AS v FROM d JOIN s USING (i) GROUP BY 1), x AS (SELECT list_sort(list(v) FILTER (v IS NOT NULL)) AS x FROM v), n AS (SELECT {_INTERVAL} FROM x),
+    t AS (SELECT CAST(sum(mw) AS BIGINT) AS more_wrong, CAST(sum(mo) AS BIGINT) AS more_of, CAST(sum(lw) AS BIGINT) AS less_wrong, CAST(sum(lo) AS BIGINT) AS less_of FROM s)
+    SELECT t.*, round_even(more_wrong / more_of - less_wrong / less_of, 4) AS difference, low, high, less_wrong >= 20 AS measurable, coalesce(less_wrong >= 20 AND more_wrong / more_of <= less_wrong / less_of / 2 AND high < 0, false) AS met FROM t, n""")
 def error_difference(spark, sf_dir):
     return metrics.difference(metrics.arms(labelled(spark, sf_dir)), "true", "source")
 
