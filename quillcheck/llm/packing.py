@@ -4,9 +4,10 @@ Every document becomes its token ids and an end id; only those longer than a seq
 sees the histogram of piece lengths alone, which has as many bins as a sequence has places. Long pieces
 fall into classes by length. The linear program (fewest sequences over all configurations that fill one) is
 solved by multiplicative weights: a class whose coverage lags weighs more, and a knapsack over the weights prices
-the next configuration. Its amounts are rounded down, and best fit, length by length, places what is left into the
-sequences begun and new ones. Several shares of the program's solution are tried, none among them; the plan with
-the fewest sequences is taken. A piece finds its place by its rank among the pieces of its length. A length that many pieces have
+the next configuration. Its amounts are rounded, and best fit, length by length, places what is left into the
+sequences begun and new ones. As the program knows classes and not lengths, its sequences are a little too loose; so in some plans each
+configuration's smallest piece is left to best fit, which finds one that fills the place that is really free. Several shares of
+the program's solution are tried, with and without that, and none; the plan with the fewest sequences is taken. A piece finds its place by its rank among the pieces of its length. A length that many pieces have
 (that of a whole sequence, for one) is dealt to as many buckets as it needs, so no task gets more than about ``BUCKET`` pieces.
 
 Defined results: a null or empty text is the end id alone; a text of any length is cut whole into pieces; repeated rows are documents of
@@ -36,7 +37,7 @@ ROUNDS = 1000
 #: Classes of the program, and the share of a sequence up to which a piece has none.
 GROUPS, SMALLEST = 96, 16
 #: Shares of the program's solution that are tried; best fit places the rest.
-SHARES = (1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1)
+SHARES = (1.0, 0.9, 0.7, 0.5, 0.35, 0.2, 0.1)
 #: Pieces of one length to a bucket, about, and buckets that a length can have.
 BUCKET, MOST_BUCKETS = 4_000_000, 1 << 20
 
@@ -145,6 +146,14 @@ def rounded(amounts: dict[Configuration, float], share: float, wanted: np.ndarra
     return [(c, times[c]) for c in order if times[c]]
 
 
+def without_smallest(configuration: Configuration, sizes: np.ndarray) -> Configuration:
+    """A configuration of two pieces or more without its smallest one."""
+    if sum(often for _, often in configuration) < 2:
+        return configuration
+    least = min((k for k, _ in configuration), key=lambda k: (sizes[k], k))
+    return tuple((k, often - (k == least)) for k, often in configuration if often > (k == least))
+
+
 def filled(plan: list[tuple[Configuration, int]], kinds: list[tuple[int, int]], left: np.ndarray) -> dict[Filling, int]:
     """The configurations with actual lengths, the longest of each class first, taken out of ``left``."""
     queues = [[[x, int(left[x])] for x in range(a, b + 1) if left[x]] for a, b in kinds]
@@ -235,9 +244,11 @@ def solve(counts: np.ndarray, size: int = 2048, rounds: int = ROUNDS) -> list[tu
         # A last length that isn't a multiple of the unit may be rounded to more than a sequence.
         amounts = program(np.minimum(sizes, size // unit), wanted, size // unit, rounds)
         for share in SHARES:
-            left = counts.copy()
-            begun = filled(rounded(amounts, share, wanted), kinds, left)
-            plans.append(best_fit(left, size, begun))
+            whole = rounded(amounts, share, wanted)
+            for plan in (whole, [(without_smallest(c, sizes), n) for c, n in whole]):
+                left = counts.copy()
+                begun = filled(plan, kinds, left)
+                plans.append(best_fit(left, size, begun))
     plans.append(best_fit(counts, size))
     return sorted(min(plans, key=lambda p: sum(p.values())).items(), reverse=True)
 

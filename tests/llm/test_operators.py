@@ -452,6 +452,13 @@ def test_a_share_of_the_program_is_that_share():
         assert abs(n - share * sum(amounts.values())) <= 1
 
 
+def test_smallest_pieces_are_left_to_best_fit():
+    sizes = np.array([50, 34, 33, 20])
+    assert packing.without_smallest(((0, 1), (3, 2)), sizes) == ((0, 1), (3, 1))
+    assert packing.without_smallest(((0, 1), (3, 1)), sizes) == ((0, 1),)
+    assert packing.without_smallest(((2, 1),), sizes) == ((2, 1),)
+
+
 def test_program_covers_its_classes():
     sizes, wanted = np.array([50, 34, 33, 20]), np.array([40.0, 100.0, 100.0, 60.0])
     covered = np.zeros(4)
