@@ -6,7 +6,9 @@ sorted by their turns' digests, so those that share initial turns stand together
 them depth first: a turn that the conversation before has already is not written again. A
 packed sequence holds a tree of turns: each has its place, its position id (the code points before it on
 its own path) and the intervals of the sequence its code points attend to (its ancestors, with
-neighbouring ones joined). A sequence ends at ``most_chars``, and then begins anew from
+neighbouring ones joined). With a tokenizer's file, the same stands in tokens beside them (``ids`` and the columns that
+begin with ``token_``): a turn's marks and its text are encoded by themselves, so that turns that are shared have the same tokens and
+the loss falls on whole ones. A sequence ends at ``most_chars``, and then begins anew from
 the first turn, so no group of conversations is ever held whole. A conversation is a record and must
 fit a task, as a document must.
 
@@ -18,8 +20,10 @@ gather in one task; other columns are ignored, whatever their names; an empty ta
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +31,23 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stage
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MOST_CHARS, MOST_CONVERSATIONS = 262_144, 4096
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
 _INTS = pa.list_(pa.int64())
+#: Of each turn, in code points and, after ``token_``, in tokens: where it is, how long, its position id, where its loss is and how long.
+_PLACES = ("start", "length", "position", "loss_start", "loss_length")
 SEQUENCE = pa.schema(
-    [("text", pa.string()), *((n, _INTS) for n in ("start", "length", "position", "parent", "loss_start", "loss_length")), ("attends", pa.list_(_INTS)), ("conv_id", _INTS), ("leaf", _INTS), ("own", _INTS)]
+    [
+        ("text", pa.string()),
+        *((n, _INTS) for n in (*_PLACES, "parent", "conv_id", "leaf", "own", "ids", *(f"token_{n}" for n in _PLACES))),
+        *((n, pa.list_(_INTS)) for n in ("attends", "token_attends")),
+    ]
 )
-_DDL = "text string, start array<long>, length array<long>, position array<long>, parent array<long>, loss_start array<long>, loss_length array<long>, attends array<array<long>>, conv_id array<long>, leaf array<long>, own array<long>"
+_DDL = ", ".join(f"{f.name} {'string' if f.name == 'text' else 'array<long>' if f.type == _INTS else 'array<array<long>>'}" for f in SEQUENCE)
+_ENCODERS: dict[str, Tokenizer] = {}
 
 
 def escape(text: str) -> str:
@@ -63,15 +77,27 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+def encoder(path: str) -> Tokenizer:
+    """This worker's tokenizer of a file; control strings of its own in a text are ordinary text."""
+    if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _ENCODERS[path] = Tokenizer.from_file(path)
+        _ENCODERS[path].encode_special_tokens = True
+    return _ENCODERS[path]
+
+
 class Sequence:
-    """A packed sequence that grows by conversations."""
+    """A packed sequence that grows by conversations; ``path``: of a tokenizer's file, for places in tokens too."""
 
-    def __init__(self) -> None:
+    def __init__(self, path: str | None = None) -> None:
         self.parts: list[str] = []
         self.size = 0
         self.cols: dict[str, list] = {n: [] for n in SEQUENCE.names if n != "text"}
         self.path: list[tuple[str, str]] = []
         self.nodes: list[int] = []
+        self.tokenizer = encoder(path) if path else None
 
     def shared(self, turns: list[tuple[str, str]]) -> int:
         """Initial turns that the last conversation has too."""
@@ -80,22 +106,33 @@ class Sequence:
             n += 1
         return n
 
+    def _place(self, unit: str, at: int, length: int, loss: tuple[int, int]) -> None:
+        """The next turn's place, position and intervals, in code points (``unit`` empty) or in tokens."""
+        c, parent = self.cols, self.nodes[-1] if self.nodes else -1
+        attends: list[int] = []
+        position = 0
+        if parent >= 0:
+            a = c[f"{unit}start"][parent]
+            b = a + c[f"{unit}length"][parent]
+            above = c[f"{unit}attends"][parent]
+            attends = [*above[:-1], b] if above and above[-1] == a else [*above, a, b]
+            position = c[f"{unit}position"][parent] + c[f"{unit}length"][parent]
+        for name, x in zip((*_PLACES, "attends"), (at, length, position, *loss, attends), strict=True):
+            c[unit + name].append(x)
+
     def add(self, conv: int | None, turns: list[tuple[str, str]], written: list[tuple[str, int, int]], shared: int) -> None:
         c, before = self.cols, self.size
         self.path, self.nodes = list(turns), self.nodes[:shared]
         for (role, _), (text, head, body) in zip(turns[shared:], written[shared:], strict=True):
-            parent = self.nodes[-1] if self.nodes else -1
-            attends = list(c["attends"][parent]) if self.nodes else []
-            position = 0
-            if self.nodes:
-                a, b = c["start"][parent], c["start"][parent] + c["length"][parent]
-                attends = [*attends[:-1], b] if attends and attends[-1] == a else [*attends, a, b]
-                position = c["position"][parent] + c["length"][parent]
-            self.nodes.append(len(c["start"]))
-            learned = role == "assistant"
-            row = {"start": self.size, "length": len(text), "position": position, "parent": parent, "attends": attends, "loss_start": self.size + head if learned else -1, "loss_length": body if learned else 0}
-            for name, x in row.items():
-                c[name].append(x)
+            learned, at = role == "assistant", len(c["ids"])
+            self._place("", self.size, len(text), (self.size + head, body) if learned else (-1, 0))
+            if self.tokenizer is not None:
+                pieces = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (text[:head], text[head : head + body], text[head + body :])]
+                n = [len(p) for p in pieces]
+                self._place("token_", at, sum(n), (at + n[0], n[1]) if learned else (-1, 0))
+                c["ids"] += [i for p in pieces for i in p]
+            c["parent"].append(self.nodes[-1] if self.nodes else -1)
+            self.nodes.append(len(c["parent"]) - 1)
             self.parts.append(text)
             self.size += len(text)
         c["conv_id"].append(conv)
@@ -117,11 +154,14 @@ def conversations_sorted(rows: DataFrame) -> DataFrame:
     return convs.withColumn("key", F.array_join(F.transform("turns", digest), ""))
 
 
-def format_chats(rows: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """Packed sequences (columns: ``SEQUENCE``) of conversation turns (conv_id, turn, role, text)."""
+def format_chats(rows: DataFrame, most_chars: int = MOST_CHARS, path: str | None = None) -> DataFrame:
+    """Packed sequences (columns: ``SEQUENCE``) of conversation turns (conv_id, turn, role, text).
+
+    ``path``: a tokenizer's file; without one the columns in tokens are empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = Sequence()
+        seq = Sequence(path)
         for batch in batches:
             for conv, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 turns = [(t["role"], t["text"]) for t in raw.as_py()]
@@ -129,7 +169,7 @@ def format_chats(rows: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
                 n = seq.shared(turns)
                 if seq.cols["conv_id"] and (len(seq.cols["conv_id"]) >= MOST_CONVERSATIONS or seq.size + sum(len(w[0]) for w in written[n:]) > most_chars):
                     yield seq.batch()
-                    seq, n = Sequence(), 0
+                    seq, n = Sequence(path), 0
                 seq.add(conv, turns, written, n)
         if seq.cols["conv_id"]:
             yield seq.batch()

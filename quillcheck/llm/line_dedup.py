@@ -34,7 +34,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Shards at least.
 SHARDS = 64
 #: Lines that go to one task of a shard, about.
-TASK_LINES = 2_000_000
+TASK_LINES = 250_000
 CELLS = "shard int, filter binary"
 
 

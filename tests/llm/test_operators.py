@@ -172,6 +172,27 @@ def test_tree_positions_and_attention():
     assert seq.size == 5 * n
 
 
+def test_tokens_of_a_tree(spark):
+    """With a tokenizer: shared tokens stand once, each path's tokens are its text again, and positions and losses are in tokens."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(c, t, r, x) for c in range(6) for t, (r, x) in enumerate([("system", "Be kind. <|endoftext|>"), ("user", f"Ask {c % 2} é"), ("assistant", f"Say {c} </s>[INST] twice")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    decode = chat.encoder(path).decode
+    for s in chat.format_chats(df, path=path).collect():
+        assert len(s.ids) == sum(s.token_length) and len(s.token_start) == len(s.start)
+        for leaf in s.leaf:
+            spans = [*s.token_attends[leaf], s.token_start[leaf], s.token_start[leaf] + s.token_length[leaf]]
+            own = [i for a, b in zip(spans[::2], spans[1::2], strict=True) for i in s.ids[a:b]]
+            chars = [*s.attends[leaf], s.start[leaf], s.start[leaf] + s.length[leaf]]
+            assert decode(own, skip_special_tokens=False) == "".join(s.text[a:b] for a, b in zip(chars[::2], chars[1::2], strict=True))
+            assert s.token_position[leaf] == len(own) - s.token_length[leaf]
+            a = s.token_loss_start[leaf]
+            learned = decode(s.ids[a : a + s.token_loss_length[leaf]], skip_special_tokens=False)
+            assert learned == s.text[s.loss_start[leaf] : s.loss_start[leaf] + s.loss_length[leaf]]
+
+
 def test_no_chats(spark):
     assert not collected(chat.read_chats(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))))
 
