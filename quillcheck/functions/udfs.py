@@ -72,3 +72,16 @@ def _facts(text, quote, subject, title, seen):
 
 
 facts = _of(_facts, FACTS, once=True)
+
+
+LINE = f"struct<said:{_FIGURES},known:{_FIGURES},own:array<string>,text_n:string,basis_n:string,said_by_n:string>"
+
+
+def _line(text, objection, basis, said_by, names):
+    """What the tests of one line need of itself and of the facts it cites."""
+    said = figures_of(f"{objection or ''} {text or ''}")
+    own = [value for value, _ in figures_of(names or "")]
+    return said, figures_of(basis or ""), own, pytext.norm(text or ""), pytext.norm(basis or ""), pytext.norm(said_by or "")
+
+
+line = _of(_line, LINE, once=True)

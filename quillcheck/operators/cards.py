@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import textexpr as X
 from ..functions import udfs as U
+from ..functions.pytext import norm
 from ..schemas import NO_PAGE, PAGE_KINDS, REQUOTABLE
 
 STRENGTH = ("they_win", "we_win")
@@ -26,18 +27,15 @@ def check_lines(lines: DataFrame, facts: DataFrame, names: str = "") -> DataFram
     rows = F.array_sort(F.collect_list(F.struct("k", "ft", "fq")))
     basis = cited.join(f, "cite", "left").groupBy("line_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all_there"), rows.alias("rows"))
     basis = basis.select("line_id", "all_there", F.array_join(F.transform("rows", lambda r: F.concat(r["ft"], F.lit(" "), r["fq"])), " ").alias("basis"), F.array_join(F.transform("rows", lambda r: r["ft"]), " ").alias("said_by"))
-    j = lines.join(basis, "line_id", "left")
-    text = F.coalesce("text", F.lit(""))
-    j = j.withColumn("__said", U.figures(F.concat(F.coalesce("objection", F.lit("")), F.lit(" "), text))).withColumn("__known", U.figures("basis"))
-    own = U.figures(F.lit(names))
-    j = j.withColumn("__own", F.transform(own, lambda x: x["value"])).withColumn("__t", U.norm(text)).withColumn("__b", U.norm("basis")).withColumn("__s", U.norm("said_by")).withColumn("__n", U.norm(F.lit(names)))
-    extra = F.transform(F.filter("__said", lambda x: ~F.array_contains("__known", x) & ~((x["kind"] == "") & F.array_contains("__own", x["value"]))), lambda x: x["value"])
+    j = lines.join(basis, "line_id", "left").withColumn("__l", U.line("text", "objection", "basis", "said_by", F.lit(names)))
+    said, known, own = (F.col(f"__l.{c}") for c in ("said", "known", "own"))
+    extra = F.transform(F.filter(said, lambda x: ~F.array_contains(known, x) & ~((x["kind"] == "") & F.array_contains(own, x["value"]))), lambda x: x["value"])
     reason = (
         F.when(F.coalesce(F.size("cites"), F.lit(0)) <= 0, "it cites nothing")
         .when(~F.coalesce("all_there", F.lit(False)), "it cites a fact that is not there")
         .when(F.size(extra) > 0, F.concat(F.lit("its facts lack a figure: "), F.array_join(extra, ", ")))
-        .when(X.polarity_mismatch_n(F.col("__t"), F.col("__s")), "it and its facts differ in a negation")
-        .when(F.col("section").isin(*STRENGTH) & (X.overlap_n(F.col("__t"), F.col("__b"), F.col("__n")) < 0.5), "its facts say less")
+        .when(X.polarity_mismatch_n(F.col("__l.text_n"), F.col("__l.said_by_n")), "it and its facts differ in a negation")
+        .when(F.col("section").isin(*STRENGTH) & (X.overlap_n(F.col("__l.text_n"), F.col("__l.basis_n"), F.lit(norm(names))) < 0.5), "its facts say less")
         .otherwise("")
     )
     j = j.withColumn("reason", reason)
