@@ -1,8 +1,8 @@
-"""Figures of a text: a scanner that reads it by runs of digits, letters and single marks.
+"""Figures of a text: a scanner that stops at each run of digits and asks what stands beside it.
 
-A figure is a value and a kind: a currency, "%" or nothing. Each ``Run`` knows only its own characters; what a
-figure takes along (a sign before it, digit groups, a decimal, a scale, a plus, a kind behind it) is asked
-for one after another of the runs that follow. Numbers in words are read from the same runs.
+A figure is a value and a kind: a currency, "%" or nothing. What a figure takes along (a sign before it, digit groups, a
+decimal, a scale, a plus, a kind behind it) is asked for one after another of the places that follow. Numbers in words are read
+word by word in the same way.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from typing import NamedTuple
 
 from ..schemas import CURRENCY_CODES, CURRENCY_SIGNS, MONEY_WORDS, SCALE_LETTERS, SCALE_WORDS, STYLE, TENS, UNITS
 
-_RUNS = re.compile(r"(?P<digits>\d+)|(?P<letters>[^\W\d]+)|(?P<blank>\s)|(?P<mark>.)", re.S)
-_DIGIT = re.compile(r"\d")
+_DIGITS, _WORD, _LETTERS = re.compile(r"\d+"), re.compile(r"\w+"), re.compile(r"(?<!\w)[^\W\d]+")
+_GROUP, _DECIMALS, _POINT = re.compile(r",(\d{3})(\d?)"), re.compile(r"(?:\.\d+)*"), re.compile(r"\.\d")
+_GAP, _BLANKS = re.compile(r"[\s-]+"), re.compile(r"\s+")
 _STYLE = str.maketrans(STYLE)
 _SMALL = {w: float(n) for n, w in enumerate(UNITS)} | {w: 10.0 * n for n, w in enumerate(TENS, 2)}
 _LARGE = {"hundred": 100.0} | SCALE_WORDS
@@ -26,23 +27,6 @@ _MAY_HAVE_SIGNS = re.compile(r"\b(?:us|eur|gbp|inr|rs)|(?<![\w.])\.\d", re.I)
 _MAY_HAVE_WORDS = re.compile(rf"\b(?:{'|'.join([*_SMALL, *_LARGE])})\b", re.I)
 
 
-class Run(NamedTuple):
-    what: str
-    text: str
-    start: int
-
-    @property
-    def end(self) -> int:
-        return self.start + len(self.text)
-
-    @property
-    def wordlike(self) -> bool:
-        return self.what in ("digits", "letters")
-
-
-_NOTHING = Run("none", "", 0)
-
-
 class Figure(NamedTuple):
     start: int
     end: int
@@ -51,40 +35,32 @@ class Figure(NamedTuple):
     scale: float | None
 
 
-class Text:
-    """A text's runs, and questions about what stands at one of them."""
+def _word(text: str, at: int) -> tuple[str, int]:
+    """The word (letters, digits, underscores) from ``at`` on, in lower case, and where it ends."""
+    m = _WORD.match(text, at)
+    return (m[0].lower(), m.end()) if m else ("", at)
+
 
-    def __init__(self, text: str):
-        self.runs = [Run(m.lastgroup or "", m[0], m.start()) for m in _RUNS.finditer(text)]
+def _blank(text: str, at: int) -> int:
+    """1 if a blank is there, else 0."""
+    return text[at : at + 1].isspace()
 
-    def at(self, i: int) -> Run:
-        return self.runs[i] if 0 <= i < len(self.runs) else _NOTHING
 
-    def word(self, i: int) -> str:
-        """The whole word (letters, digits, underscores) that begins with run ``i``, in lower case."""
-        out = ""
-        while self.at(i).wordlike:
-            out += self.at(i).text
-            i += 1
-        return out.lower()
+def _joined(text: str, at: int) -> bool:
+    """Does what begins at ``at`` go on a word or a number?"""
+    before = text[at - 1] if at > 0 else ""
+    return before.isalnum() or before in ("_", ".")
 
-    def past_word(self, i: int) -> int:
-        while self.at(i).wordlike:
-            i += 1
-        return i
 
-    def kind_behind(self, i: int) -> tuple[str, int]:
-        """What the runs from ``i`` on make a figure before them, and where they end; nothing ends at ``i``."""
-        gap = self.at(i).what == "blank"
-        here = i + gap
-        if self.at(here).text == "%":
-            return "%", here + 1
-        word = self.word(here)
-        if word == "percent":
-            return "%", self.past_word(here)
-        if gap and word in MONEY_WORDS:
-            return MONEY_WORDS[word], self.past_word(here)
-        return "", i
+def _kind_behind(text: str, at: int) -> tuple[str, int]:
+    """What a figure that ends at ``at`` is made by what follows, and where that ends; nothing ends at ``at``."""
+    gap = _blank(text, at)
+    if text[at + gap : at + gap + 1] == "%":
+        return "%", at + gap + 1
+    word, end = _word(text, at + gap)
+    if word == "percent":
+        return "%", end
+    return (MONEY_WORDS[word], end) if gap and word in MONEY_WORDS else ("", at)
 
 
 def canonical(value: float) -> str:
@@ -96,94 +72,84 @@ def with_signs(text: str) -> str:
     """Currency codes before a number become signs, and a decimal without a zero gets one."""
     if not _MAY_HAVE_SIGNS.search(text):
         return text
-    t, out, i = Text(text), "", 0
-    while (run := t.at(i)).what != "none":
-        code, behind = (run.text.lower(), i + 1) if run.what == "letters" and not t.at(i - 1).wordlike else ("", i)
-        if code in ("us", "rs") and (longer := code + t.at(behind).text) in CURRENCY_CODES and _number_follows(t, behind + 1):
-            code, behind = longer, behind + 1
-        if code in CURRENCY_CODES and _number_follows(t, behind):
-            out += CURRENCY_CODES[code]
-            i = behind + (t.at(behind).what == "blank")
-            continue
-        if run.text == "." and t.at(i + 1).what == "digits" and not re.search(r"[\w.]\Z", out):
-            out += "0"
-        out += run.text
-        i += 1
-    return out
-
-
-def _number_follows(t: Text, i: int) -> bool:
-    i += t.at(i).what == "blank"
-    return t.at(i).what == "digits" or t.at(i).text == "."
-
+    parts, done = [], 0
+    for m in _LETTERS.finditer(text):
+        code, end = m[0].lower(), m.end()
+        if (longer := code + text[end : end + 1]) in CURRENCY_CODES and _number_follows(text, end + 1):
+            code, end = longer, end + 1
+        if code in CURRENCY_CODES and _number_follows(text, end):
+            parts += (text[done : m.start()], CURRENCY_CODES[code])
+            done = end + _blank(text, end)
+    signed = "".join([*parts, text[done:]])
+    bare = [m.start() for m in _POINT.finditer(signed) if not _joined(signed, m.start())]
+    return "0".join(signed[a:b] for a, b in pairwise([0, *bare, len(signed)]))
+
+
+def _number_follows(text: str, at: int) -> bool:
+    here = at + _blank(text, at)
+    return text[here : here + 1] == "." or bool(_DIGITS.match(text, here))
+
+
+def _number(text: str, m: re.Match) -> tuple[str, int, bool]:
+    """The number that begins with a run of digits: its text, where it ends, and whether that is within another run."""
+    number, end = m[0], m.end()
+    if len(number) <= 3:
+        while group := _GROUP.match(text, end):
+            number, end = number + group[1], group.end(1)
+            if group[2]:
+                return number, end, True
+    decimals = _DECIMALS.match(text, end)
+    return number + decimals[0], decimals.end(), False
+
+
+def _scale(text: str, at: int, folded: bool, money: bool) -> tuple[float | None, int]:
+    """The scale that stands at ``at``, and where it ends."""
+    word, end = _word(text, at)
+    if word in SCALE_LETTERS:
+        # Metres and bytes are written in small letters too; those count where letters were folded or money is meant.
+        sure = folded or money or word == "k" or not text[at:end].islower()
+        return (SCALE_LETTERS[word] if sure else None), end
+    if not word and (_blank(text, at) or text[at : at + 1] == "-"):
+        word, end = _word(text, at + 1)
+    return (SCALE_WORDS[word], end) if word in SCALE_WORDS else (None, at)
 
-def _digits(t: Text, i: int) -> tuple[str, int, bool]:
-    """The number whose first run of digits is ``i``: its text, the run behind it, and whether a run was cut within it."""
-    whole, behind = t.at(i).text, i + 1
-    if len(whole) <= 3:
-        while t.at(behind).text == "," and t.at(behind + 1).what == "digits" and len(t.at(behind + 1).text) >= 3:
-            group = t.at(behind + 1).text
-            whole, behind = whole + group[:3], behind + 2
-            if len(group) > 3:
-                return whole, behind, True
-    while t.at(behind).text == "." and t.at(behind + 1).what == "digits":
-        whole, behind = f"{whole}.{t.at(behind + 1).text}", behind + 2
-    return whole, behind, False
 
+def _sign_before(text: str, at: int) -> tuple[str, int]:
+    """The currency sign that belongs to the number at ``at``, and where number and sign begin."""
+    k = at - 1 - (at > 0 and _blank(text, at - 1))
+    if k >= 0 and text[k] in CURRENCY_SIGNS and not _joined(text, k):
+        return text[k], k
+    return "", at
 
-def _scale(t: Text, i: int, folded: bool, money: bool) -> tuple[float | None, int]:
-    """The scale that the runs from ``i`` on give, and where they end."""
-    own = t.at(i)
-    if own.wordlike and (word := t.word(i)) in SCALE_LETTERS:
-        # Metres and bytes are written in small letters too; those count where letters were folded or money is meant.
-        sure = folded or money or word == "k" or not own.text.islower()
-        return (SCALE_LETTERS[word] if sure else None), t.past_word(i)
-    here = i + (own.what == "blank" or own.text == "-")
-    if (word := t.word(here)) in SCALE_WORDS:
-        return SCALE_WORDS[word], t.past_word(here)
-    return None, i
 
-
-def _numerals(t: Text, folded: bool) -> Iterable[Figure]:
+def _numerals(text: str, folded: bool) -> Iterable[Figure]:
     """Figures in digits; those with two points or more are versions."""
-    i = 0
-    while (run := t.at(i)).what != "none":
-        before = t.at(i - 1)
-        if run.what != "digits" or before.wordlike or before.text == ".":
-            i += 1
+    at = 0
+    while m := _DIGITS.search(text, at):
+        at = m.end()
+        if _joined(text, m.start()):
             continue
-        sign, start = _sign_before(t, i)
-        whole, behind, is_cut = _digits(t, i)
+        sign, start = _sign_before(text, m.start())
+        number, at, is_cut = _number(text, m)
         scale: float | None = None
-        kind, end = "", behind
-        if is_cut:
-            stop = t.at(behind - 1).start + 3
-        else:
+        kind = ""
+        if not is_cut:
             # Where a scale ends tells where a kind may stand, and the kind tells whether a small letter was a scale.
-            past = _scale(t, behind, True, True)[1]
-            past += t.at(past).text == "+"
-            kind, end = t.kind_behind(past)
-            scale = _scale(t, behind, folded, bool(sign) or kind not in ("", "%"))[0]
-            stop = t.at(end - 1).end
-        if whole.count(".") < 2:
-            yield Figure(start, stop, float(whole), sign or kind, scale)
-        i = end
-
-
-def _sign_before(t: Text, i: int) -> tuple[str, int]:
-    """The currency sign that belongs to the number at ``i``, and where number and sign begin."""
-    k = i - 1 - (t.at(i - 1).what == "blank")
-    sign, outer = t.at(k), t.at(k - 1)
-    if sign.text and sign.text in CURRENCY_SIGNS and not outer.wordlike and outer.text != ".":
-        return sign.text, sign.start
-    return "", t.at(i).start
+            first = at
+            past = _scale(text, first, True, True)[1]
+            kind, at = _kind_behind(text, past + (text[past : past + 1] == "+"))
+            scale = _scale(text, first, folded, bool(sign) or kind not in ("", "%"))[0]
+        if number.count(".") < 2:
+            yield Figure(start, at, float(number), sign or kind, scale)
 
 
 def _shared(found: list[Figure], text: str) -> list[Figure]:
     """Figures of a range have one kind, the first that is known from the left, and a scale on the right counts for the left."""
+    if len(found) < 2:
+        return found
     joined = [bool(_JOINT.fullmatch(text, a.end, b.start)) for a, b in pairwise(found)] + [False]
     out, carried, linked = [], "", False
-    for n, (figure, more) in enumerate(zip(found, joined, strict=False)):
+    for n, (figure, more) in enumerate(zip(found, joined, strict=True)):
         carried = (carried if linked else "") or figure.kind
         scale = figure.scale
         if more:
@@ -213,45 +179,36 @@ def amount(words: list[str]) -> float:
     return total + _hundreds(since)
 
 
-def _numbers_in_words(t: Text, taken: list[Figure]) -> Iterable[tuple[str, str]]:
-    i = 0
-    while t.at(i).what != "none":
-        first = t.word(i) if t.at(i).wordlike and not t.at(i - 1).wordlike else ""
-        if first not in _SMALL and first not in _LARGE:
-            i += 1
+def _numbers_in_words(text: str, taken: list[Figure]) -> Iterable[tuple[str, str]]:
+    at = 0
+    while m := _WORD.search(text, at):
+        at = m.end()
+        if (first := m[0].lower()) not in _SMALL and first not in _LARGE:
             continue
-        words, start, behind = [first], t.at(i).start, t.past_word(i)
-        while (step := _next_number_word(t, behind)) is not None:
-            words.append(t.word(step))
-            behind = t.past_word(step)
-        kind, i = t.kind_behind(behind)
+        words = [first]
+        while (more := _next_number_word(text, at)) is not None:
+            words.append(more[0])
+            at = more[1]
+        kind, at = _kind_behind(text, at)
         idiom = words == ["one"] or not any(w in _SMALL for w in words)
-        if not idiom and not any(f.start <= start < f.end for f in taken):
+        if not idiom and not any(f.start <= m.start() < f.end for f in taken):
             yield canonical(amount(words)), kind
 
 
-def _next_number_word(t: Text, i: int) -> int | None:
-    """The number word that blanks, hyphens and an "and" part from run ``i``, if there is one."""
-    k = i
-    while t.at(k).what == "blank" or t.at(k).text == "-":
-        k += 1
-    if k == i:
+def _next_number_word(text: str, at: int) -> tuple[str, int] | None:
+    """The number word that blanks, hyphens and an "and" part from ``at``, and where it ends, if there is one."""
+    if not (gap := _GAP.match(text, at)):
         return None
-    if t.word(k) == "and" and t.at(t.past_word(k)).what == "blank":
-        after = t.past_word(k)
-        while t.at(after).what == "blank":
-            after += 1
-        k = after
-    return k if t.word(k) in _SMALL or t.word(k) in _LARGE else None
+    word, end = _word(text, gap.end())
+    if word == "and" and (blanks := _BLANKS.match(text, end)):
+        word, end = _word(text, blanks.end())
+    return (word, end) if word in _SMALL or word in _LARGE else None
 
 
 def figures(text: str, folded: bool = False) -> list[tuple[str, str]]:
     """(value, kind) of each figure, those in digits first. ``folded``: the text was lower-cased."""
-    plain = with_signs(text.translate(_STYLE))
+    plain = with_signs(text if text.isascii() else text.translate(_STYLE))
     has_words = _MAY_HAVE_WORDS.search(plain)
-    if not has_words and not _DIGIT.search(plain):
-        return []
-    t = Text(plain)
-    digits = _shared(list(_numerals(t, folded)), plain)
+    digits = _shared(list(_numerals(plain, folded)), plain)
     found = [(canonical(f.value * (f.scale or 1.0)), f.kind) for f in digits]
-    return [*found, *_numbers_in_words(t, digits)] if has_words else found
+    return [*found, *_numbers_in_words(plain, digits)] if has_words else found

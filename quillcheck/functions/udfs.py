@@ -45,7 +45,7 @@ breaks = _of(lambda s: list(pytext.breaks(s or "")), "array<int>")
 def _page(text, title, url):
     """What the tests of any claim need of a page, made once for all of its claims."""
     parts = pages.address_parts(url or "")
-    names = None if parts is None else parts[0] + pytext._WORD.findall(pytext.norm(parts[1]))
+    names = None if parts is None else parts[0] + pytext.words(parts[1])
     return pytext.norm_lines(text or ""), pytext.norm(title or ""), names
 
 
