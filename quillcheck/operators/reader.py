@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import udfs as U
 from ..functions.textexpr import as_data
 
 
@@ -36,25 +37,75 @@ def prompts(batched: DataFrame) -> DataFrame:
     return batched.groupBy("evidence_id", "batch").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "\n").alias("prompt"), F.count(F.lit(1)).alias("size"))
 
 
-def ask(prompts_: DataFrame, call: Callable[[str], str], tries: int = 2) -> DataFrame:
-    """evidence_id, batch, reply, error: ``call`` on each prompt, tried again once. Write the result out: calls must not be repeated by lineage."""
+def ask(prompts_: DataFrame, call: Callable[[str], str | tuple[str, float]], tries: int = 2) -> DataFrame:
+    """evidence_id, batch, reply, error, calls, cost: ``call`` on each prompt, tried again once.
+
+    ``call`` gives a reply, or a reply and what it cost. Counts are columns and no counters of the session, as tasks that run again would
+    count twice there. Write the result out: calls must not be repeated by lineage.
+    """
+
+    def one(prompt: str) -> tuple[str | None, str | None, int, float]:
+        error, cost = None, 0.0
+        for k in range(tries):
+            try:
+                got = call(prompt)
+                reply, own = got if isinstance(got, tuple) else (got, 0.0)
+                return reply, None, k + 1, cost + own
+            except Exception as e:  # noqa: BLE001  kept as the reason of what stays unread
+                error = error or str(e)[:300]
+        return None, error, tries, cost
 
     def run(frames):
         for frame in frames:
-            replies, errors = [], []
-            for prompt in frame["prompt"]:
-                reply = error = None
-                for _ in range(tries):
-                    try:
-                        reply = call(prompt)
-                        break
-                    except Exception as e:  # noqa: BLE001  kept as the reason of what stays unread
-                        error = error or str(e)[:300]
-                replies.append(reply)
-                errors.append(None if reply is not None else error)
-            yield frame[["evidence_id", "batch"]].assign(reply=replies, error=errors)
-
-    return prompts_.mapInPandas(run, "evidence_id string, batch long, reply string, error string")
+            got = [one(p) for p in frame["prompt"]]
+            columns = dict(zip(("reply", "error", "calls", "cost"), map(list, zip(*got, strict=True)), strict=True)) if got else {c: [] for c in ("reply", "error", "calls", "cost")}
+            yield frame[["evidence_id", "batch"]].assign(**columns)
+
+    return prompts_.mapInPandas(run, "evidence_id string, batch long, reply string, error string, calls int, cost double")
+
+
+def scripted(replies: Mapping[str, str]) -> Callable[[str], str]:
+    """A model that answers by rule: the reply of the first key that the prompt contains; a prompt with none raises."""
+
+    def call(prompt: str) -> str:
+        for key, reply in replies.items():
+            if key in prompt:
+                return reply
+        raise LookupError("no reply for this prompt")
+
+    return call
+
+
+def decision_states(standing: DataFrame, pages: DataFrame) -> DataFrame:
+    """pos and state (JSON) of standing claims: title, claim, passage and what stands around it; what is empty is left out."""
+    page = pages.select(F.col("id").alias("evidence_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("page"))
+    rows = standing.select("pos", "evidence_id", "text", "quote").join(page, "evidence_id")
+    rows = rows.withColumn("c", U.context("quote", "page")).withColumn("passage", F.coalesce(U.passage("quote", "page"), F.col("quote")))
+    shown = {"page_title": F.col("title"), "claim": F.col("text"), "quote": F.col("passage"), "before": F.col("c.before"), "between": F.col("c.between"), "after": F.col("c.after")}
+    return rows.select("pos", F.to_json(F.struct(*(F.nullif(c, F.lit("")).alias(n) for n, c in shown.items()))).alias("state"))
+
+
+def ask_probability(states: DataFrame, decide: Callable[[str], float], tries: int = 2) -> DataFrame:
+    """pos, p (null where ``decide`` gave no number from 0 to 1) and error: one state to a call, each call tried twice."""
+
+    def one(state: str) -> tuple[float | None, str | None]:
+        error = None
+        for _ in range(tries):
+            try:
+                p = float(decide(state))
+                if 0 <= p <= 1:
+                    return p, None
+                error = error or f"no probability: {p}"
+            except Exception as e:  # noqa: BLE001  kept as the reason of what stays unread
+                error = error or str(e)[:300]
+        return None, error
+
+    def run(frames):
+        for frame in frames:
+            got = [one(s) for s in frame["state"]]
+            yield frame[["pos"]].assign(p=[g[0] for g in got], error=[g[1] for g in got])
+
+    return states.mapInPandas(run, "pos long, p double, error string")
 
 
 def answers_once(answers: DataFrame, keys: tuple[str, ...] = ("batch",), size: str = "size") -> DataFrame:

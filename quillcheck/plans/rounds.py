@@ -8,7 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import textexpr as X
-from ..operators import cards, rounds, study
+from ..operators import cards, reader, rounds, study
+from ..sources import ways, web
 from .queries import _L, _REASON_SQL, labelled, order_claims, order_pages, order_verdicts, query, table
 
 # Models that answer by rule, so that what a round must give is known.
@@ -98,6 +99,55 @@ def statement_lines(spark, sf_dir):
     return rounds.statements(table(spark, sf_dir, "orders", "o_orderkey").select(key.alias("doc"), blocks.alias("blocks")))
 
 
+def rule_of_state(state: str) -> float:
+    """The hundredths of the order's number; every seventh order can't be decided."""
+    shown = json.loads(state)
+    key = int(shown["page_title"].split()[1])
+    if key % 7 == 0 or set(shown) != {"page_title", "claim", "quote", "before", "after"}:
+        raise ValueError("undecided")
+    return key % 100 / 100
+
+
+@query(f"""SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 8 <> 0 THEN {_REASON_SQL} WHEN o_orderkey % 7 = 0 THEN 'unread' WHEN (o_orderkey % 100) / 100 >= 0.5 THEN 'ok' ELSE 'not_stated' END AS reason FROM orders""")
+def decided_claims(spark, sf_dir):
+    """The code check, then a probability of what it kept, from the claim, its passage and the page around that."""
+    claims, pages = order_claims(spark, sf_dir), order_pages(spark, sf_dir)
+    verdicts = order_verdicts(spark, sf_dir)
+    states = reader.decision_states(claims.join(verdicts.where("supported").select("pos"), "pos", "left_semi"), pages)
+    return reader.merge_probabilities(verdicts, reader.ask_probability(states, rule_of_state), 0.5).select("pos", "reason")
+
+
+_PROBLEM_SQL = "CASE s_suppkey % 5 WHEN 1 THEN 'the page reached for a private address' WHEN 2 THEN 'status 404' WHEN 3 THEN 'a wall' WHEN 4 THEN 'private address' END"
+
+
+@query(f"SELECT s_suppkey AS seq, 'browser' AS via, {_PROBLEM_SQL} AS problem, CASE WHEN s_suppkey % 5 = 0 THEN 'https://open.example/to/' || s_suppkey END AS first_link FROM supplier UNION ALL SELECT s_suppkey, 'firecrawl', CASE s_suppkey % 5 WHEN 1 THEN 'the service gave no page: {{''success'': False}}' ELSE {_PROBLEM_SQL} END, CASE WHEN s_suppkey % 5 = 0 THEN 'https://open.example/to/' || s_suppkey END FROM supplier")
+def pages_by_other_ways(spark, sf_dir):
+    """A stand-in for a browser and one for a service: pages that are read, that reach for a private address, are not there, are walls."""
+    key = F.col("s_suppkey")
+    host = F.when(key % 5 == 4, "private.example").otherwise("open.example")
+    urls = table(spark, sf_dir, "supplier").select(key.alias("seq"), F.concat(F.lit("https://"), host, F.lit("/"), key.cast("string")).alias("url"))
+    resolve = lambda name: ["10.0.0.1" if name.startswith("private") else "8.8.8.8"]
+    guard = web.Guard(resolve)
+    body = lambda k: "Just a moment..." if k % 5 == 3 else f"Parts of supplier {k}. " * 20
+
+    def render(url, gate):
+        k = int(url.rpartition("/")[2])
+        if k % 5 == 1:
+            gate.lets("http://private.example/x", "script")
+        return ways.Rendered(f"<p>{body(k)}</p><a href='to/{k}'>x</a>", url, 404 if k % 5 == 2 else 200)
+
+    def post(request):
+        k = int(request["url"].rpartition("/")[2])
+        if k % 5 == 1:
+            return {"success": False}
+        return {"success": True, "data": {"markdown": body(k), "links": [f"https://open.example/to/{k}", "mailto:x"], "metadata": {"statusCode": 404 if k % 5 == 2 else 200}}}
+
+    none = lambda url: web.Response(404, "text/plain", "utf-8", b"")
+    both = [web.fetch(urls, get, resolve, via=via, rules_by=none) for via, get in (("browser", ways.by_browser(render, guard)), ("firecrawl", ways.by_service(post, guard)))]
+    first = F.when(F.col("problem").isNull(), F.get("links", F.lit(0))["url"])
+    return both[0].union(both[1]).select("seq", "via", "problem", first.alias("first_link"))
+
+
 # A study's tables
 
 

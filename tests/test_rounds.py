@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillcheck.functions import pages, pytext
 from quillcheck.operators import cards, metrics, reader, rounds, study
 from quillcheck.schemas import CLAIMS, EVIDENCE
-from quillcheck.sources import web
+from quillcheck.sources import ways, web
 
 PAGE = "Zeta costs $29 per month. Zeta has no phone support. Zeta was founded in Oslo."
 
@@ -184,3 +184,26 @@ def test_redirects_and_connections_are_judged():
             web.opener(web.Guard(lambda host: ["127.0.0.1"])).open(f"{home}/end", timeout=5)
     finally:
         server.shutdown()
+
+
+def test_a_browser_asks_its_gate():
+    gate = ways.Gate(web.Guard(lambda host: ["10.0.0.1"] if host == "in.test" else ["8.8.8.8"]))
+    assert gate.lets("https://a.example/x") and gate.lets("data:text/plain,x") and not gate.lets("https://a.example/p.png", "image")
+    assert not gate.lets("http://in.test/") and not gate.lets("ftp://a.example/") and not gate.lets("http://[bad")
+    assert gate.refused == ["http://in.test/", "ftp://a.example/", "http://[bad"]
+
+
+def test_ways_need_functions_of_their_own(spark):
+    urls = spark.createDataFrame([(1, "https://a.example")], "seq long, url string")
+    for via in ("browser", "", "pigeon"):
+        with pytest.raises(ValueError):
+            web.fetch(urls, via=via)
+    page = web.page(ways.by_service(lambda r: {"success": True, "data": {"markdown": "word " * 60, "metadata": {"title": "T"}, "links": ["https://b.example", 3]}}, web.Guard(lambda h: ["8.8.8.8"]))("https://a.example"), "https://a.example")
+    assert page[0] == "T" and page[2] == [("https://b.example", "")] and page[3] is None
+
+
+def test_calls_and_costs_are_counted(spark):
+    prompts = spark.createDataFrame([("e", 0, "good"), ("e", 1, "bad")], "evidence_id string, batch long, prompt string")
+    told = reader.scripted({"good": "yes"})
+    got = {r.batch: (r.reply, r.calls, r.cost, r.error) for r in reader.ask(prompts, lambda p: (told(p), 0.5)).collect()}
+    assert got == {0: ("yes", 1, 0.5, None), 1: (None, 2, 0.0, "no reply for this prompt")}
