@@ -102,16 +102,14 @@ def _number(text: str, m: re.Match) -> tuple[str, int, bool]:
     return number + decimals[0], decimals.end(), False
 
 
-def _scale(text: str, at: int, folded: bool, money: bool) -> tuple[float | None, int]:
-    """The scale that stands at ``at``, and where it ends."""
+def _scale(text: str, at: int) -> tuple[float | None, int, bool]:
+    """The scale that stands at ``at``, where it ends, and whether it may be a unit instead, as metres and bytes are in small letters."""
     word, end = _word(text, at)
     if word in SCALE_LETTERS:
-        # Metres and bytes are written in small letters too; those count where letters were folded or money is meant.
-        sure = folded or money or word == "k" or not text[at:end].islower()
-        return (SCALE_LETTERS[word] if sure else None), end
+        return SCALE_LETTERS[word], end, word != "k" and text[at:end].islower()
     if not word and (_blank(text, at) or text[at : at + 1] == "-"):
         word, end = _word(text, at + 1)
-    return (SCALE_WORDS[word], end) if word in SCALE_WORDS else (None, at)
+    return (SCALE_WORDS[word], end, False) if word in SCALE_WORDS else (None, at, False)
 
 
 def _sign_before(text: str, at: int) -> tuple[str, int]:
@@ -134,11 +132,11 @@ def _numerals(text: str, folded: bool) -> Iterable[Figure]:
         scale: float | None = None
         kind = ""
         if not is_cut:
-            # Where a scale ends tells where a kind may stand, and the kind tells whether a small letter was a scale.
-            first = at
-            past = _scale(text, first, True, True)[1]
+            scale, past, unsure = _scale(text, at)
             kind, at = _kind_behind(text, past + (text[past : past + 1] == "+"))
-            scale = _scale(text, first, folded, bool(sign) or kind not in ("", "%"))[0]
+            # A letter that may be a unit counts where letters were folded or money is meant.
+            if unsure and not folded and not sign and kind in ("", "%"):
+                scale = None
         if number.count(".") < 2:
             yield Figure(start, at, float(number), sign or kind, scale)
 
