@@ -241,6 +241,36 @@ def test_quality_is_a_plain_refit(spark):
     assert agree > 0.95 and ranks > 0.9
 
 
+def test_quality_learns_every_label_and_pair(spark):
+    """More than 4000 rows of each label: means, loss and threshold are those of all of them, on the driver or where the rows are."""
+    rng = random.Random(11)
+    texts = {i: f"{words(rng, rng.randrange(1, 9))} {'!?' * rng.randrange(3) if i % 2 else rng.randrange(10**6)}" for i in range(8700)}
+    texts |= {i: texts[0] for i in range(0, 60, 2)}
+    known = {i: i % 2 if rng.random() < 0.9 else 1 - i % 2 for i in texts}
+    docs = spark.createDataFrame([*texts.items(), (5, texts[5]), (9000, "no label")], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([*known.items(), *((10_000 + i, 0) for i in range(700))], "doc_id long, quality int")
+    got = quality.learn(docs, labels)
+    x = np.stack([quality.features(texts[i].encode()) for i in texts]).astype(float)
+    y = np.array([known[i] for i in texts])
+    assert min((y == 1).sum(), (y == 0).sum()) > 4000
+    assert np.allclose(got.mean, x.mean(0)) and np.allclose(got.scale, np.where(x.std(0) < 1e-6, 1.0, x.std(0)))
+    z = np.clip((x - got.mean) / got.scale, -8, 8)
+    s = z @ got.weights
+    lost = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+    slope = lost.mean(0) @ z[y == 0] / (y == 0).sum() - lost.mean(1) @ z[y == 1] / (y == 1).sum() + 1e-3 * got.weights
+    assert np.abs(slope).max() < 2e-4 and np.abs(got.weights).max() > 0.1
+    share = (y == 1).sum() / (len(y) + 700)
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
+    values = np.unique(s.round(9))
+    up_to = np.cumsum(np.bincount(np.searchsorted(values, s.round(9)), weight))
+    at = int(np.searchsorted(up_to, 1 - share, "right"))
+    assert abs(got.threshold - (values[at - 1] + values[at]) / 2) < 1e-6
+
+    near = quality.learn(docs.repartition(2), labels, local_blocks=64)
+    for name in ("mean", "scale", "weights", "threshold"):
+        assert np.array_equal(getattr(got, name), getattr(near, name))
+
+
 def test_quality_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, quality int")
     got = quality.quality_report(docs, labels).collect()
