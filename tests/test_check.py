@@ -7,7 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quillcheck.functions import textexpr as X
 from quillcheck.operators import audit, cards, check, metrics, reader
+from quillcheck.plans import queries
 from quillcheck.schemas import CLAIMS, EVIDENCE
 from quillcheck.sources import files
 
@@ -193,3 +195,21 @@ def test_statistics(spark):
     assert tuple(metrics.pick_threshold(curve, 99).first()) == (0.75, False)
     with pytest.raises(ValueError, match="no label"):
         metrics.need_all(rows, rows.where("id < 5").select("id", F.lit(1).alias("l")), "id")
+
+
+def test_addresses_that_share_an_id_are_told_apart(spark):
+    """The addresses of orders 28888 and 113323 have the same first eight digits of their hash."""
+    urls = ["https://orders.example/28888", "https://orders.example/113323"]
+    rows = [(i, u, "T", t, "", "code") for i, (u, t) in enumerate([(urls[0], "A"), (urls[1], "B"), (urls[0], "C"), (urls[1], "B")])]
+    pages = files.add_text(spark.createDataFrame(rows, "seq long, url string, title string, text string, fetched_at string, via string")).collect()
+    base = spark.range(1).select(X.evidence_id(F.lit(urls[1])).alias("i")).first().i
+    got = {r.text: r for r in pages}
+    assert len(pages) == len({r.id for r in pages}) == 3
+    assert got["A"].id == base and got["B"].id.startswith(f"{base}.") and got["C"].id.startswith(f"{base}.") and got["B"].seq == 3
+
+
+def test_claims_on_pages_whose_addresses_share_an_id(spark, tmp_path):
+    keys = spark.createDataFrame([(k,) for k in (28888, 113323, 9014, 111831, 8)], "o_orderkey long")
+    keys.selectExpr("o_orderkey", "100.5D as o_totalprice", "'5-LOW' as o_orderpriority", "timestamp '1996-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.pos, r.reason) for r in queries.order_verdicts(spark, str(tmp_path)).collect())
+    assert got == [(8, "ok"), (9014, "no_quote"), (28888, "ok"), (111831, "no_evidence"), (113323, "polarity_mismatch")]
