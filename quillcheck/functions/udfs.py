@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql.functions import udf
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from . import pages, pytext
 from .figures import figures as figures_of
 
 _FIGURES = "array<struct<value:string,kind:string>>"
+#: What a part of a batch, which is all that stands as Python objects at a time, holds at most.
+PART_BYTES, PART_ROWS = 1 << 20, 4096
+#: What a batch sent to Python holds at most, where the session leaves Spark's 64 MB as it is.
+BATCH_BYTES = "8m"
+
+
+def lighten(spark: SparkSession) -> None:
+    """Send Python smaller batches: a worker holds a batch and its results several times over, and long texts fill it.
+
+    Frames are run after the call that made them, so the setting stays; one that was chosen is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _in_parts(fn, made: pa.DataType, columns: list[pa.Array]) -> pa.Array:
+    """``fn`` of each row, a part of the batch after another."""
+    rows = len(columns[0])
+    step = max(1, min(PART_ROWS, rows * PART_BYTES // max(1, sum(c.nbytes for c in columns))))
+    parts = [pa.array(list(map(fn, *(c.slice(k, step).to_pylist() for c in columns))), made) for k in range(0, rows, step)]
+    return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+
+def of_batch(fn, made: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``fn`` of each row of a batch; of one text that comes many times in a batch, once."""
+    if len(columns) == 1 and pa.types.is_string(columns[0].type):
+        own = columns[0].dictionary_encode(null_encoding="encode")
+        if 2 * len(own.dictionary) < len(own):
+            return _in_parts(fn, made, [own.dictionary]).take(own.indices)
+    return _in_parts(fn, made, list(columns))
 
 
 def _of(fn, kind: str, once: bool = False):
     """A UDF that is made when it is first used in a session; ``once``: the optimizer must not repeat it."""
 
     def call(*cols) -> Column:
-        made = udf(fn, kind, useArrow=True)
-        return (made.asNondeterministic() if once else made)(*cols)
+        lighten(SparkSession.active())
+        made = to_arrow_type(DataType.fromDDL(kind))
+        run = arrow_udf(lambda *columns: of_batch(fn, made, *columns), kind)
+        return (run.asNondeterministic() if once else run)(*cols)
 
     return call
 
