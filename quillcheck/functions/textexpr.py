@@ -19,7 +19,8 @@ def norm_composed(text: Column) -> Column:
     """``udfs.norm`` for text that is composed (NFC) already, as ASCII is; no Python."""
     plain = F.replace(F.translate(text, _QUOTES_FROM, _QUOTES_TO), F.lit("\u2014"), F.lit(" - "))
     no_commas = F.regexp_replace(F.lower(plain), r"(\d),(?=\d{3}(?U:\b))", "$1")
-    return F.trim(F.regexp_replace(no_commas, r"(?U)[\s\x1c-\x1f\x85]+", " "))
+    # A single blank, as most are, is left as it is.
+    return F.trim(F.regexp_replace(no_commas, r"(?U)[\s\x1c-\x1f\x85&&[^ ]][\s\x1c-\x1f\x85]*| [\s\x1c-\x1f\x85]+", " "))
 
 
 def stem(word: Column) -> Column:
@@ -27,9 +28,10 @@ def stem(word: Column) -> Column:
     n = F.length(word)
     y = F.concat(F.left(word, n - 3), F.lit("y"))
     s = F.when((n > 3) & word.endswith("s") & ~word.endswith("ss"), F.left(word, n - 1)).otherwise(word)
-    # Lengths of the steps are told by regular expressions, which keep each step an expression of one column.
-    ing = F.regexp_replace(s, r"^(.{3,})ing$|^(.{4,})ed$", "$1$2")
-    return F.when((n > 4) & word.endswith("ies"), y).otherwise(F.regexp_replace(ing, r"^(.{4,})e$", "$1"))
+    # Lengths of the steps are told by regular expressions, which keep each step an expression of one column; few words need one.
+    ing = F.when(word.contains("ing") | word.contains("ed"), F.regexp_replace(s, r"^(.{3,})ing$|^(.{4,})ed$", "$1$2")).otherwise(s)
+    e = F.when(word.contains("e"), F.regexp_replace(ing, r"^(.{4,})e$", "$1")).otherwise(ing)
+    return F.when((n > 4) & word.endswith("ies"), y).otherwise(e)
 
 
 def tokens_n(text: Column) -> Column:
@@ -37,8 +39,12 @@ def tokens_n(text: Column) -> Column:
     return F.regexp_extract_all(spread, F.lit(r"(?U)([\w&&[^\d_]][\w+#]*)"), 1)
 
 
+def bears_content(word: Column) -> Column:
+    return (F.length(word) >= 2) & ~word.isin(*STOP)
+
+
 def content_words_n(text: Column) -> Column:
-    return F.transform(F.filter(tokens_n(text), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP)), stem)
+    return F.transform(F.filter(tokens_n(text), bears_content), stem)
 
 
 def overlap_n(text: Column, support: Column, ignore: Column | None = None) -> Column:
