@@ -66,3 +66,27 @@ def test_batches_of_long_texts_are_small(spark):
         assert max(r.b for r in rows.select(size("n").alias("b")).distinct().collect()) < 12 << 20
     finally:
         spark.conf.set(key, was)
+
+
+def test_lines_without_marks_of_a_kind_pass_its_pattern(monkeypatch):
+    """Patterns run where a line has what they need, and lines of other characters than ASCII meet them all."""
+    run = []
+
+    class Seen:
+        def __init__(self, kind, pattern):
+            self.kind, self.pattern = kind, pattern
+
+        def finditer(self, line):
+            run.append(self.kind)
+            return self.pattern.finditer(line)
+
+    monkeypatch.setattr(pytext, "_SPECIFICS", {k: Seen(k, p) for k, p in pytext._SPECIFICS.items()})
+    assert pytext.tagged("Order 7 costs $8 in all") == [("MONEY", "$8")] and run == ["MONEY"]
+    assert pytext.tagged("Ten PERCENT, or 12 Percent") == [("PERCENT", "12 Percent")] and run[1:] == ["PERCENT"]
+    assert pytext.tagged("4 ſtars") == [("RATING", "4 ſtars")] and len(run) == 9
+
+
+def test_every_kind_has_its_marks():
+    examples = {"MONEY": "5 USD", "PERCENT": "5 Percent", "RATING": "4 of 5, or 4 out of 5", "COUNT": "1,200 Customers", "DATE": "May 5", "QUOTE": '"' + "word " * 6 + '"', "ATTRIBUTION": "Studies say"}
+    for kind, line in examples.items():
+        assert kind in {k for k, _ in pytext.tagged(line)}
