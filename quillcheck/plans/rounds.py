@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textexpr as X
 from ..operators import cards, reader, rounds, study
-from ..sources import ways, web
+from ..sources import files, ways, web
 from .queries import _L, _REASON_SQL, labelled, order_claims, order_pages, order_verdicts, query, table
 
 # Models that answer by rule, so that what a round must give is known.
@@ -96,7 +96,8 @@ def statement_lines(spark, sf_dir):
     block = lambda text, cited=None: F.struct((text if cited is None else F.lit(text)).alias("text"), (F.array().cast("array<string>") if cited is None else cited).alias("cited"))
     cites = F.when(key % 2 == 0, F.array(F.lit(" it ships today "), F.lit("another"))).otherwise(F.array().cast("array<string>"))
     blocks = F.array(block(F.concat(F.lit("- Order "), key.cast("string"), F.lit(" is paid in full.\n"))), block("2) It ships", cites), block(F.lit("\nIt is green")), block(F.lit(" and very new.")))
-    return rounds.statements(table(spark, sf_dir, "orders", "o_orderkey").select(key.alias("doc"), blocks.alias("blocks")))
+    rows = files.wide(table(spark, sf_dir, "orders").select("o_orderkey"), 1 << 18)
+    return rounds.statements(rows.select(key.alias("doc"), blocks.alias("blocks")))
 
 
 def rule_of_state(state: str) -> float:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import pytext, udfs
 from quillcheck.functions.figures import figures
+from quillcheck.sources import files
 
 WORDS = pa.list_(pa.string())
 
@@ -90,3 +91,13 @@ def test_every_kind_has_its_marks():
     examples = {"MONEY": "5 USD", "PERCENT": "5 Percent", "RATING": "4 of 5, or 4 out of 5", "COUNT": "1,200 Customers", "DATE": "May 5", "QUOTE": '"' + "word " * 6 + '"', "ATTRIBUTION": "Studies say"}
     for kind, line in examples.items():
         assert kind in {k for k, _ in pytext.tagged(line)}
+
+
+def test_tasks_of_narrow_rows_do_not_grow_with_the_table(spark, tmp_path):
+    spark.range(0, 400_000, 1, 1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    cores = spark.sparkContext.defaultParallelism
+    assert files.wide(rows).rdd.getNumPartitions() == cores
+    dealt = files.wide(rows, 1 << 16)
+    assert dealt.rdd.getNumPartitions() > 4 * cores and dealt.count() == 400_000
+    assert files.wide(rows, 1 << 40).rdd.getNumPartitions() == cores
