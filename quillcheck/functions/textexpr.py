@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,12 +72,21 @@ def negated_n(text: Column, shared: Column) -> Column:
     return F.arrays_overlap(let(tokens_n(text), near), shared)
 
 
+#: Of what a text has one if it has a negator; "n't" and "cannot" hold one too.
+_NEGATOR_PARTS = [p for p in [*NEGATORS, "n't"] if not any(q != p and q in p for q in [*NEGATORS, "n't"])]
+
+
+def may_negate_n(text: Column) -> Column:
+    return reduce(or_, (text.contains(p) for p in _NEGATOR_PARTS))
+
+
 def polarity_mismatch_n(a: Column, b: Column) -> Column:
+    """Does one of two texts negate a content word that both have and the other doesn't? Texts without a negator are told at a glance."""
     def differ(shared: Column) -> Column:
         no = F.lit(False)
         return F.when(F.size(shared) == 0, no).otherwise(F.coalesce(negated_n(a, shared), no) != F.coalesce(negated_n(b, shared), no))
 
-    return let(F.array_intersect(content_words_n(a), content_words_n(b)), differ)
+    return F.when(may_negate_n(a) | may_negate_n(b), let(F.array_intersect(content_words_n(a), content_words_n(b)), differ)).otherwise(F.lit(False))
 
 
 def names_n(text: Column) -> Column:

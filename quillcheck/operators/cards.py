@@ -27,7 +27,10 @@ def check_lines(lines: DataFrame, facts: DataFrame, names: str = "") -> DataFram
     rows = F.array_sort(F.collect_list(F.struct("k", "ft", "fq")))
     basis = cited.join(f, "cite", "left").groupBy("line_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("all_there"), rows.alias("rows"))
     basis = basis.select("line_id", "all_there", F.array_join(F.transform("rows", lambda r: F.concat(r["ft"], F.lit(" "), r["fq"])), " ").alias("basis"), F.array_join(F.transform("rows", lambda r: r["ft"]), " ").alias("said_by"))
-    j = lines.join(basis, "line_id", "left").withColumn("__l", U.line("text", "objection", "basis", "said_by", F.lit(names)))
+    j = lines.join(basis, "line_id", "left")
+    # Only lines whose facts are all there are read further.
+    stands = (F.coalesce(F.size("cites"), F.lit(0)) > 0) & F.coalesce("all_there", F.lit(False))
+    j = j.withColumn("__l", U.line(*(F.when(stands, F.col(c)) for c in ("text", "objection", "basis", "said_by")), F.lit(names)))
     said, known, own = (F.col(f"__l.{c}") for c in ("said", "known", "own"))
     extra = F.transform(F.filter(said, lambda x: ~F.array_contains(known, x) & ~((x["kind"] == "") & F.array_contains(own, x["value"]))), lambda x: x["value"])
     reason = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import textexpr as X
 from quillcheck.plans import queries
+from quillcheck.schemas import NEGATORS
 
 WORDS = "studies ties dies pricing priced prices seeing bed beds feeds need sing rings things bring glasses pass is as use uses used using agreed agreeing trees eding eeds cheese eeeee ing ed des les mining mine étages été naïve ease eases eased".split()
 
@@ -51,3 +52,15 @@ def test_documents_without_a_sentence_have_no_windows(spark, tmp_path):
     texts = ["One. Two.", "", None, "\n\n", " "]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in queries.passage_windows(spark, str(tmp_path)).collect()] == [(0, 2, 13)]
+
+
+def test_texts_without_a_negator_are_told_at_a_glance(spark):
+    """Every negator, and a text that has none in any word, give what tokens give; tokens stand behind the look in the plan."""
+    pairs = [(f"it has {n} phone support", "it has phone support") for n in [*NEGATORS, "cannot lose", "doesn't have"]] + [("it has phone support", "it has phone support"), ("a knot of phone wires", "phone wires"), (None, "no phone"), ("", "no phone"), ("phone", "phone without phone")]
+    a, b = F.col("a"), F.col("b")
+    shared = X.let(F.array_intersect(X.content_words_n(a), X.content_words_n(b)), lambda s: F.coalesce(X.negated_n(a, s), F.lit(False)) != F.coalesce(X.negated_n(b, s), F.lit(False)))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(X.polarity_mismatch_n(a, b).alias("got"), F.coalesce(shared, F.lit(False)).alias("want"))
+    got = rows.collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert sum(r.got for r in got) >= len(NEGATORS)
+    assert rows._jdf.queryExecution().analyzed().toString().count("CASE WHEN") > 1 and "Contains" in rows._jdf.queryExecution().executedPlan().toString()
